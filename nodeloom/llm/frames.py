@@ -23,6 +23,15 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: Rows of a few numbers that may be broadcast (about 16 MB); more are joined by shuffling.
+SMALL_ROWS = 500_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A stored table of a few numeric columns, to be broadcast if its counted rows allow it."""
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+
+
 def free(df: DataFrame, name: str) -> str:
     """A name that no column of df has, whatever the case."""
     taken = {c.lower() for c in df.columns}

@@ -1,20 +1,21 @@
 """Operator 10, n-gram Jaccard join by multiple global orders.
 
 A document's set holds its distinct K-word shingles (fewer words: the whole
-sequence as one). Sets of n and m shingles with Jaccard >= t share a token
-among the first n - ceil(t n) + 1 of either under *every* total order of all
-tokens. The orders put frequent tokens last (a fixed-size table of counts over
+sequence as one). Sets of n and m shingles with Jaccard >= t share c tokens
+among the first n - ceil(t n) + c of either under *every* total order of all
+tokens, for any c up to their overlap. The orders put frequent tokens last (a fixed-size table of counts over
 the whole corpus) and break ties by different hashes.
 
 1. Equal sets become one class, so copies cost one row.
 2. Tokens of the first order's prefixes are posted and dealt by token; a token
    that only one class has is dropped there.
 3. Stars: within a token and a size band, each class is compared with the least
-   class only. Most groups of near copies become one component this way.
+   class only, if they meet in c tokens so. Most groups of near copies become one component this way.
 4. Exhaustive: for tokens whose classes lie in several components, all pairs of
    different components with a possible size ratio are compared.
-5. A pair must also share prefix tokens under the other orders before its
-   intersection is counted. Verified links feed connected components.
+5. Only the classes of such pairs have their whole sets read again. A pair must
+   also share prefix tokens under the other orders before its intersection is
+   counted. Verified links feed connected components.
 
 Pairs inside a component are not listed again, so a group of g near copies
 makes about g candidate pairs, and no link between different components is lost.
@@ -32,14 +33,16 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from nodeloom.llm import words as W
-from nodeloom.llm.frames import col, link_components, with_kernel
+from nodeloom.llm.frames import col, link_components, small, with_kernel
 from nodeloom.llm.store import Scratch
 
 K = 5
 #: Similarity in hundredths.
 LEAST = 80
-#: Orders beside the first that a candidate pair has to pass.
-MORE_ORDERS = (0x51ED27, 0x7F4A91)
+#: Seeds of the orders: the first deals the tokens, the others must agree before a pair's sets are read.
+ORDERS = (0, 0x51ED27, 0x7F4A91)
+#: Prefix tokens that a pair must share (c); fewer where a set is smaller.
+SHARED = 4
 #: Cells of the table of token counts; its size does not follow the input.
 COUNT_CELLS = 1 << 18
 #: Tokens gathered before their repeats are counted, and the repeats that are.
@@ -67,8 +70,13 @@ def _ranks(x: np.ndarray, counts: np.ndarray, seed: int) -> np.ndarray:
     return (rarity << np.uint64(56)) | (W.mix(x ^ np.uint64(seed)) >> np.uint64(8))
 
 
+def overlap(n: int, least: int) -> int:
+    """The least overlap of a set of n tokens with a similar one."""
+    return -(-least * n // 100)
+
+
 def prefix_length(n: int, least: int) -> int:
-    return n + (-least * n // 100) + 1
+    return min(n, n - overlap(n, least) + SHARED)
 
 
 def prefix(x: np.ndarray, counts: np.ndarray, seed: int, least: int) -> np.ndarray:
@@ -121,62 +129,97 @@ def token_counts(texts: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-SETS = T.StructType([T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
+_TOKENS = T.ArrayType(T.LongType())
+SETS = T.StructType([T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("tokens", _TOKENS)])
+
+
+def _join(parts: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _whole(k: int):
+    """n, fp and the whole set of each text."""
+
+    def kernel(texts: pa.Array) -> list[pa.Array]:
+        n, fp, tokens = [], [], []
+        for c in W.chunks(texts, lower=True):
+            x, edge = shingle_sets(c, k)
+            n.append(np.diff(edge))
+            fp.append(W.fingerprint(x, edge)[0])
+            tokens.append(x)
+        edge = np.concatenate([[0], np.cumsum(_join(n, np.int64))])
+        return [pa.array(_join(n, np.int64)), pa.array(W.signed(_join(fp, np.uint64))), W.lists(W.signed(_join(tokens, np.uint64)), edge, pa.int64())]
+
+    return kernel
 
 
-def _sets(k: int, counts: np.ndarray | None, least: int):
-    """n, fp and the first order's prefix of each set, or with counts None the whole set."""
+def _prefixes(k: int, counts: np.ndarray, least: int):
+    """n, fp and the set's prefix under the first order; a set that the task has had already comes without it."""
+    seen: set[int] = set()
 
     def kernel(texts: pa.Array) -> list[pa.Array]:
-        n, fp, tokens, edges = [], [], [], [0]
+        n, fp, found, sizes = [], [], [], []
         for c in W.chunks(texts, lower=True):
             x, edge = shingle_sets(c, k)
             n.append(np.diff(edge))
             fp.append(W.fingerprint(x, edge)[0])
-            if counts is None:
-                tokens.append(x)
-                edges += (edge[1:] + edges[-1]).tolist()
-                continue
             for i in range(c.n):
                 part = x[edge[i] : edge[i + 1]]
-                part = prefix(part, counts, 0, least) if len(part) else part
-                tokens.append(part)
-                edges.append(edges[-1] + len(part))
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        return [pa.array(join(n, np.int64)), pa.array(W.signed(join(fp, np.uint64))), W.lists(W.signed(join(tokens, np.uint64)), np.array(edges), pa.int64())]
+                if not len(part) or (mark := int(fp[-1][i])) in seen:
+                    sizes.append(0)
+                    continue
+                seen.add(mark)
+                found.append(prefix(part, counts, ORDERS[0], least))
+                sizes.append(len(found[-1]))
+        edge = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
+        return [pa.array(_join(n, np.int64)), pa.array(W.signed(_join(fp, np.uint64))), W.lists(W.signed(_join(found, np.uint64)), edge, pa.int64())]
 
     return kernel
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate([x, y])
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def _verify(counts: np.ndarray, least: int):
+    """Keeps the pairs (a, b) whose sets x and y pass every order's filter and then the similarity."""
+
+    def similar(x: np.ndarray, y: np.ndarray) -> bool:
+        need = min(SHARED, overlap(min(len(x), len(y)), least))
+        if any(_common(prefix(x, counts, s, least), prefix(y, counts, s, least)) < need for s in ORDERS[1:]):
+            return False
+        common = _common(x, y)
+        return 100 * common >= least * (len(x) + len(y) - common)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            sides = []
-            for name in ("x", "y"):
-                a = batch.column(name)
-                sides.append((a.values.to_numpy(zero_copy_only=False).view(np.uint64), a.offsets.to_numpy()))
-            for i in range(len(batch)):
-                x, y = (v[o[i] : o[i + 1]] for v, o in sides)
-                small, large = sorted((len(x), len(y)))
-                if 100 * small < least * large:
-                    continue
-                if any(not len(np.intersect1d(prefix(x, counts, s, least), prefix(y, counts, s, least), assume_unique=True)) for s in MORE_ORDERS):
-                    continue
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep[i] = 100 * common >= least * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+            (x, i), (y, j) = ((c.values.to_numpy(zero_copy_only=False).view(np.uint64), c.offsets.to_numpy()) for c in (batch.column("x"), batch.column("y")))
+            keep = [similar(x[i[r] : i[r + 1]], y[j[r] : j[r + 1]]) for r in range(len(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, counts: np.ndarray, least: int) -> DataFrame:
-    """The pairs (a, b) of classes that hold."""
-    x = sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(counts, least), "a long, b long")
+class _Links:
+    """From candidate pairs to verified links."""
+
+    def __init__(self, texts: DataFrame, classes: DataFrame, counts: np.ndarray, scratch: Scratch, k: int, least: int):
+        self.texts, self.classes, self.counts, self.scratch, self.k, self.least = texts, classes, counts, scratch, k, least
+
+    def of(self, pairs: DataFrame, what: str) -> DataFrame:
+        pairs = self.scratch.keep(pairs, f"{what}-pairs")
+        names = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+        wanted = self.scratch.keep(self.classes.join(names, "fp", "left_semi"), f"{what}-wanted")
+        ids = self.scratch.keep(wanted.select(F.col("rep").alias("doc_id")).distinct(), f"{what}-ids")
+        chosen = self.texts.join(small(ids), "doc_id", "left_semi")
+        sets = with_kernel(chosen, _whole(self.k), SETS, "s", "t", []).select("s.*").join(small(wanted.select("fp", "n")), ["fp", "n"], "left_semi")
+        sets = self.scratch.keep(sets.dropDuplicates(["fp"]), f"{what}-sets")
+        x, y = sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y"))
+        links = self.scratch.keep(pairs.join(x, "a").join(y, "b").mapInArrow(_verify(self.counts, self.least), "a long, b long"), what)
+        self.scratch.drop(pairs, wanted, ids, sets)
+        return links
 
 
 def jaccard_groups(spark: SparkSession, docs: DataFrame, k: int = K, least: int = LEAST, text: str = "text") -> DataFrame:
@@ -191,36 +234,32 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, k: int = K, least: int
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(col("doc_id").alias("doc_id"), col(text).alias("t"))
     counts = token_counts(texts, k)
-    made = scratch.keep(with_kernel(texts, _sets(k, counts, least), SETS, "s", "t", ["doc_id"]).select("doc_id", "s.*"), "prefixes")
+    made = scratch.keep(with_kernel(texts, _prefixes(k, counts, least), SETS, "s", "t", ["doc_id"]).select("doc_id", "s.*"), "prefixes")
     rows = made.select("doc_id", "n", "fp")
     classes = scratch.keep(rows.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    links_of = _Links(texts, classes, counts, scratch, k, least)
 
-    # postings of one row for each class; tokens that only one class has go
+    # postings: one row for a class, token and task; tokens that only one class has go
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / least))).cast("int")
-    posted = made.join(classes, ["fp", "n"]).where("doc_id <=> rep").select("fp", "n", F.explode("tokens").alias("token"))
+    posted = made.select("fp", "n", F.explode("tokens").alias("token"))
     of_token, of_band = Window.partitionBy("token"), Window.partitionBy("token", "band")
     shared = posted.withColumn("lo", F.min("fp").over(of_token)).withColumn("hi", F.max("fp").over(of_token)).where("lo <> hi").select("token", "fp", "n", band.alias("band"))
     shared = scratch.keep(shared.withColumn("pivot", F.min("fp").over(of_band)).distinct(), "shared")
 
-    # the sets of classes that share a token
-    wanted = shared.select("fp", "n").distinct().join(classes, ["fp", "n"]).select("fp", "n", "rep")
-    chosen = texts.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = with_kernel(chosen, _sets(k, None, least), SETS, "s", "t", []).select("s.*").dropDuplicates(["fp", "n"])
-    sets = scratch.keep(sets.join(wanted.select("fp", "n"), ["fp", "n"], "left_semi"), "sets")
-
-    stars = shared.where("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct()
-    links = scratch.keep(_links(stars, sets, counts, least), "stars")
+    need = lambda n: F.least(F.lit(SHARED), F.ceil(n * least / 100))
+    stars = shared.where("fp <> pivot").groupBy(F.col("pivot").alias("a"), F.col("fp").alias("b"), "n").count().where(F.col("count") >= need(F.col("n"))).select("a", "b")
+    links = links_of.of(stars, "stars")
     roots = link_components(spark, links, scratch).withColumnRenamed("node", "fp")
 
     placed = shared.join(roots, "fp", "left").select("token", "fp", "n", "band", F.coalesce("root", "fp").alias("root"))
     mixed = placed.withColumn("lo", F.min("root").over(of_token)).withColumn("hi", F.max("root").over(of_token)).where("lo <> hi").drop("lo", "hi")
     mixed = scratch.keep(mixed, "mixed")
-    one, two = mixed.alias("one"), mixed.select("token", "fp", "n", "root", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band")).alias("two")
+    one, two = mixed.alias("one"), mixed.select("token", "fp", "n", "root", F.col("band").alias("own"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band")).alias("two")
     near = (F.col("one.root") != F.col("two.root")) & (F.col("one.n") * 100 >= F.col("two.n") * least) & (F.col("two.n") * 100 >= F.col("one.n") * least)
-    # equal bands meet twice, so they are ordered by fp; neighbouring bands meet once
-    near &= (F.col("one.fp") < F.col("two.fp")) | (F.floor(F.log(F.col("one.n").cast("double")) / F.log(F.lit(100.0 / least))) != F.floor(F.log(F.col("two.n").cast("double")) / F.log(F.lit(100.0 / least))))
-    rest = one.join(two, (F.col("one.token") == F.col("two.token")) & (F.col("one.band") == F.col("two.band")) & near).select(F.col("one.fp").alias("a"), F.col("two.fp").alias("b")).distinct()
-    more = scratch.keep(links.union(_links(rest, sets, counts, least)), "links")
+    near &= (F.col("two.own") != F.col("two.band")) | (F.col("one.fp") < F.col("two.fp"))  # within a band each pair once
+    rest = one.join(two, (F.col("one.token") == F.col("two.token")) & (F.col("one.band") == F.col("two.band")) & near).groupBy(F.col("one.fp").alias("a"), F.col("two.fp").alias("b"), F.least("one.n", "two.n").alias("n")).count()
+    rest = rest.where(F.col("count") >= need(F.col("n"))).select("a", "b")
+    more = links.union(links_of.of(rest, "rest"))
     roots = link_components(spark, more, scratch).withColumnRenamed("node", "fp")
 
     # rep ids of classes name the components
