@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.llm import jaccard, mixing, packing, quality, secrets
+from nodeloom.llm import jaccard, licenses, mixing, packing, quality, secrets, substrings, toxicity
 from nodeloom.llm.frames import read
 from nodeloom.llm.store import Scratch
 
@@ -32,10 +32,25 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sized, "n_tokens", ["doc_id"]).select("doc_id", "n_tokens", "pack.*")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from labels whose rows are not held out."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    scored = toxicity.toxicity(docs, labels.where(~toxicity.held_out()), keep=["doc_id"])
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "toxicity.*")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(read(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "digest.*")
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(spark, read(spark, sf_dir, "documents"), as_hash=True).withColumnRenamed("kept", "kept_sha256")
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(spark, read(spark, sf_dir, "documents"))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(spark, read(spark, sf_dir, "documents"))
 
@@ -46,5 +61,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op3_quality, op4_packing, op7_secrets, op10_jaccard, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op3_quality, op4_packing, op5_toxicity, op7_secrets, op8_substrings, op9_licenses, op10_jaccard, pipeline)}
 SQL: dict[str, str] = {}
