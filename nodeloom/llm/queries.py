@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.llm import jaccard, licenses, mixing, packing, quality, secrets, substrings, toxicity
+from nodeloom.llm import jaccard, licenses, mixing, neighbours, packing, pages, quality, secrets, substrings, toxicity
 from nodeloom.llm.frames import read
 from nodeloom.llm.store import Scratch
 
@@ -21,6 +21,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "mix.source_size", "mix.target", "mix.taken", F.get("mix.copies", F.lit(0))["position"].alias("first_position"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_links(spark, read(spark, sf_dir, "embeddings"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), keep=["doc_id"])
     return judged.select("doc_id", "quality.*")
@@ -39,6 +43,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "toxicity.*")
 
 
+def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(spark, read(spark, sf_dir, "pages"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(read(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "digest.*")
 
@@ -61,5 +69,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op3_quality, op4_packing, op5_toxicity, op7_secrets, op8_substrings, op9_licenses, op10_jaccard, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_neighbours, op3_quality, op4_packing, op5_toxicity, op6_pages, op7_secrets, op8_substrings, op9_licenses, op10_jaccard, pipeline)}
 SQL: dict[str, str] = {}
