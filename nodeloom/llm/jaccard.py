@@ -9,16 +9,20 @@ the whole corpus) and break ties by different hashes.
 1. Equal sets become one class, so copies cost one row.
 2. Tokens of the first order's prefixes are posted and dealt by token; a token
    that only one class has is dropped there.
-3. Stars: within a token and a size band, each class is compared with the least
-   class only, if they meet in c tokens so. Most groups of near copies become one component this way.
-4. Exhaustive: for tokens whose classes lie in several components, all pairs of
-   different components with a possible size ratio are compared.
-5. Only the classes of such pairs have their whole sets read again. A pair must
-   also share prefix tokens under the other orders before its intersection is
-   counted. Verified links feed connected components.
-
-Pairs inside a component are not listed again, so a group of g near copies
-makes about g candidate pairs, and no link between different components is lost.
+3. Stars: within a token and a size band, each class is compared with one pivot
+   only, which differs between a few kinds of tokens and from round to round.
+   Pairs of at least LOOSE similarity gather classes into clusters; tokens within
+   one cluster drop out.
+4. Tiles: in a cluster that links do not connect yet, every class outside the
+   largest component is compared with every class, in tiles of TILE sets. A tile
+   counts all its intersections at once and returns a spanning set of links.
+5. Exhaustive: for tokens whose classes lie in several clusters still, all pairs
+   of different clusters with a possible size ratio are compared, if they meet in
+   c tokens. They must share as many under the other orders, before their
+   intersection is counted.
+
+Links between different texts are all looked for, yet a group of g near copies
+lists about g pairs. Verified links feed connected components.
 """
 
 from __future__ import annotations
@@ -43,10 +47,16 @@ LEAST = 80
 ORDERS = (0, 0x51ED27, 0x7F4A91)
 #: Prefix tokens that a pair must share (c); fewer where a set is smaller.
 SHARED = 4
+#: Rounds of stars, and pivots that a class meets in each.
+ROUNDS, PIVOTS = 2, 4
+#: Similarity in hundredths that gathers classes into clusters, and classes a side of a tile.
+LOOSE, TILE = 60, 512
+#: Tokens that a tile counts at once.
+STRIPE = 4096
 #: Cells of the table of token counts; its size does not follow the input.
-COUNT_CELLS = 1 << 18
+COUNT_CELLS = 1 << 20
 #: Tokens gathered before their repeats are counted, and the repeats that are.
-GATHER, REPEATS = 4_000_000, 3
+GATHER, REPEATS = 4_000_000, 4
 
 
 def shingle_sets(c: W.Chunk, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -183,21 +193,72 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def _verify(counts: np.ndarray, least: int):
-    """Keeps the pairs (a, b) whose sets x and y pass every order's filter and then the similarity."""
+def _verify(counts: np.ndarray, least: int, loose: int | None):
+    """Keeps the pairs (a, b) of sets x and y that are similar; strong: by the limit, else by loose.
 
-    def similar(x: np.ndarray, y: np.ndarray) -> bool:
-        need = min(SHARED, overlap(min(len(x), len(y)), least))
-        if any(_common(prefix(x, counts, s, least), prefix(y, counts, s, least)) < need for s in ORDERS[1:]):
-            return False
+    Without loose, a pair must pass every order's filter before its intersection is counted.
+    """
+
+    def similar(x: np.ndarray, y: np.ndarray) -> int:
+        if loose is None:
+            need = min(SHARED, overlap(min(len(x), len(y)), least))
+            if any(_common(prefix(x, counts, s, least), prefix(y, counts, s, least)) < need for s in ORDERS[1:]):
+                return 0
         common = _common(x, y)
-        return 100 * common >= least * (len(x) + len(y) - common)
+        union = len(x) + len(y) - common
+        return 2 if 100 * common >= least * union else int(loose is not None and 100 * common >= loose * union)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (x, i), (y, j) = ((c.values.to_numpy(zero_copy_only=False).view(np.uint64), c.offsets.to_numpy()) for c in (batch.column("x"), batch.column("y")))
-            keep = [similar(x[i[r] : i[r + 1]], y[j[r] : j[r + 1]]) for r in range(len(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found = np.array([similar(x[i[r] : i[r + 1]], y[j[r] : j[r + 1]]) for r in range(len(batch))], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found == 2)], names=["a", "b", "strong"]).filter(pa.array(found > 0))
+
+    return run
+
+
+def _tile(least: int):
+    """Links between the outer and the other sets of a tile, as (a, b); each set with the least one it reaches."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        outer = table.column("outer").to_numpy(zero_copy_only=False)
+        fp, sets = table.column("fp").to_numpy(), table.column("tokens").combine_chunks()
+        values, edge = sets.values.to_numpy(zero_copy_only=False), sets.offsets.to_numpy()
+        parts = [values[edge[i] : edge[i + 1]] for i in range(len(fp))]
+        sides = []
+        for which in (np.flatnonzero(outer), np.flatnonzero(~outer)):
+            sides.append((which, np.concatenate([parts[i] for i in which]), np.repeat(np.arange(len(which)), [len(parts[i]) for i in which])) if len(which) else None)
+        if None in sides:
+            return schema.empty_table()
+        (left, x, xi), (right, y, yi) = sides
+        both = np.intersect1d(x, y)
+        common = np.zeros((len(left), len(right)), np.float32)
+        for s in range(0, len(both), STRIPE):
+            stripe, dense = both[s : s + STRIPE], []
+            for v, i, n in ((x, xi, len(left)), (y, yi, len(right))):
+                at = np.minimum(np.searchsorted(stripe, v), len(stripe) - 1)
+                hit = stripe[at] == v
+                m = np.zeros((n, len(stripe)), np.float32)
+                m[i[hit], at[hit]] = 1
+                dense.append(m)
+            common += dense[0] @ dense[1].T
+        n = np.diff(edge)
+        union = n[left][:, None] + n[right][None, :] - common
+        i, j = np.nonzero(100 * common >= least * union)
+        a, b = fp[left[i]], fp[right[j]]
+        names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root, p, q = np.arange(len(names)), at[: len(a)], at[len(a) :]
+        while True:
+            new, low = root.copy(), np.minimum(root[p], root[q])
+            np.minimum.at(new, p, low)
+            np.minimum.at(new, q, low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        apart = root != np.arange(len(names))
+        return pa.Table.from_arrays([pa.array(names[apart]), pa.array(names[root[apart]])], schema=schema)
 
     return run
 
@@ -208,19 +269,39 @@ class _Links:
     def __init__(self, texts: DataFrame, classes: DataFrame, counts: np.ndarray, scratch: Scratch, k: int, least: int):
         self.texts, self.classes, self.counts, self.scratch, self.k, self.least = texts, classes, counts, scratch, k, least
 
-    def of(self, pairs: DataFrame, what: str) -> DataFrame:
-        pairs = self.scratch.keep(pairs, f"{what}-pairs")
-        names = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    def sets(self, names: DataFrame, what: str) -> DataFrame:
+        """(n, fp, tokens) of the named classes, read from one document of each."""
         wanted = self.scratch.keep(self.classes.join(names, "fp", "left_semi"), f"{what}-wanted")
         ids = self.scratch.keep(wanted.select(F.col("rep").alias("doc_id")).distinct(), f"{what}-ids")
         chosen = self.texts.join(small(ids), "doc_id", "left_semi")
         sets = with_kernel(chosen, _whole(self.k), SETS, "s", "t", []).select("s.*").join(small(wanted.select("fp", "n")), ["fp", "n"], "left_semi")
         sets = self.scratch.keep(sets.dropDuplicates(["fp"]), f"{what}-sets")
+        self.scratch.drop(wanted, ids)
+        return sets
+
+    def of(self, pairs: DataFrame, what: str, loose: int | None) -> DataFrame:
+        """(a, b, strong) of the pairs that hold."""
+        pairs = self.scratch.keep(pairs, f"{what}-pairs")
+        sets = self.sets(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct(), what)
         x, y = sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y"))
-        links = self.scratch.keep(pairs.join(x, "a").join(y, "b").mapInArrow(_verify(self.counts, self.least), "a long, b long"), what)
-        self.scratch.drop(pairs, wanted, ids, sets)
+        links = self.scratch.keep(pairs.join(x, "a").join(y, "b").mapInArrow(_verify(self.counts, self.least, loose), "a long, b long, strong boolean"), what)
+        self.scratch.drop(pairs, sets)
         return links
 
+    def tiles(self, placed: DataFrame) -> DataFrame:
+        """(a, b) of a spanning set of the links that clusters have between their components; placed: fp, cluster, root."""
+        sizes = placed.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+        main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("all"), F.count("*").alias("roots"), (F.sum("n") - F.max("n")).alias("out"))
+        open_ = placed.join(main.where("roots > 1"), "cluster")
+        up = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / TILE)).cast("int")
+        open_ = open_.select("fp", "cluster", (F.col("root") != F.col("main")).alias("out_of_main"), up("all").alias("n_all"), up("out").alias("n_out"))
+        open_ = self.scratch.keep(open_, "open")
+        h = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+        rows = open_.where("out_of_main").select("fp", "cluster", F.lit(True).alias("outer"), h("n_out").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"))
+        columns = open_.select("fp", "cluster", F.lit(False).alias("outer"), F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("i"), h("n_all").alias("j"))
+        sets = self.sets(open_.select("fp"), "tile").select("fp", "tokens")
+        return self.scratch.keep(rows.union(columns).join(sets, "fp").groupBy("cluster", "i", "j").applyInArrow(_tile(self.least), "a long, b long"), "tiles")
+
 
 def jaccard_groups(spark: SparkSession, docs: DataFrame, k: int = K, least: int = LEAST, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs.
@@ -244,23 +325,36 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, k: int = K, least: int
     posted = made.select("fp", "n", F.explode("tokens").alias("token"))
     of_token, of_band = Window.partitionBy("token"), Window.partitionBy("token", "band")
     shared = posted.withColumn("lo", F.min("fp").over(of_token)).withColumn("hi", F.max("fp").over(of_token)).where("lo <> hi").select("token", "fp", "n", band.alias("band"))
-    shared = scratch.keep(shared.withColumn("pivot", F.min("fp").over(of_band)).distinct(), "shared")
-
+    shared = scratch.keep(shared.distinct(), "shared")
     need = lambda n: F.least(F.lit(SHARED), F.ceil(n * least / 100))
-    stars = shared.where("fp <> pivot").groupBy(F.col("pivot").alias("a"), F.col("fp").alias("b"), "n").count().where(F.col("count") >= need(F.col("n"))).select("a", "b")
-    links = links_of.of(stars, "stars")
-    roots = link_components(spark, links, scratch).withColumnRenamed("node", "fp")
-
-    placed = shared.join(roots, "fp", "left").select("token", "fp", "n", "band", F.coalesce("root", "fp").alias("root"))
-    mixed = placed.withColumn("lo", F.min("root").over(of_token)).withColumn("hi", F.max("root").over(of_token)).where("lo <> hi").drop("lo", "hi")
-    mixed = scratch.keep(mixed, "mixed")
-    one, two = mixed.alias("one"), mixed.select("token", "fp", "n", "root", F.col("band").alias("own"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band")).alias("two")
-    near = (F.col("one.root") != F.col("two.root")) & (F.col("one.n") * 100 >= F.col("two.n") * least) & (F.col("two.n") * 100 >= F.col("one.n") * least)
+
+    def across(clusters: DataFrame | None) -> DataFrame:
+        """Postings with their clusters, of tokens that several clusters have."""
+        if clusters is None:
+            return shared.withColumn("cluster", F.col("fp"))
+        placed = shared.join(clusters, "fp", "left").select("token", "fp", "n", "band", F.coalesce("cluster", "fp").alias("cluster"))
+        return scratch.keep(placed.withColumn("lo", F.min("cluster").over(of_token)).withColumn("hi", F.max("cluster").over(of_token)).where("lo <> hi").drop("lo", "hi"), "mixed")
+
+    mixed, links, clusters = across(None), None, None
+    for r in range(ROUNDS):
+        pivot = F.min(F.struct(F.xxhash64("fp", F.pmod("token", F.lit(PIVOTS)), F.lit(r)).alias("h"), "fp", "cluster")).over(of_band)
+        stars = mixed.withColumn("pivot", pivot).where("cluster <> pivot.cluster").groupBy(F.col("pivot.fp").alias("a"), F.col("fp").alias("b"), "n").count()
+        found = links_of.of(stars.where(F.col("count") >= F.least(F.lit(2), need(F.col("n")))).select("a", "b"), "stars", LOOSE)
+        links = found if links is None else scratch.keep(links.union(found), "links")
+        clusters = link_components(spark, links, scratch).select(F.col("node").alias("fp"), F.col("root").alias("cluster"))
+        mixed = across(clusters)
+        if not found.take(1):
+            break
+    strong = links.where("strong").select("a", "b")
+    roots = link_components(spark, strong, scratch).select(F.col("node").alias("fp"), "root")
+    tiled = links_of.tiles(clusters.join(roots, "fp", "left").select("fp", "cluster", F.coalesce("root", "fp").alias("root")))
+
+    one, two = mixed.alias("one"), mixed.select("token", "fp", "n", "cluster", F.col("band").alias("own"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band")).alias("two")
+    near = (F.col("one.cluster") != F.col("two.cluster")) & (F.col("one.n") * 100 >= F.col("two.n") * least) & (F.col("two.n") * 100 >= F.col("one.n") * least)
     near &= (F.col("two.own") != F.col("two.band")) | (F.col("one.fp") < F.col("two.fp"))  # within a band each pair once
     rest = one.join(two, (F.col("one.token") == F.col("two.token")) & (F.col("one.band") == F.col("two.band")) & near).groupBy(F.col("one.fp").alias("a"), F.col("two.fp").alias("b"), F.least("one.n", "two.n").alias("n")).count()
-    rest = rest.where(F.col("count") >= need(F.col("n"))).select("a", "b")
-    more = links.union(links_of.of(rest, "rest"))
-    roots = link_components(spark, more, scratch).withColumnRenamed("node", "fp")
+    rest = links_of.of(rest.where(F.col("count") >= need(F.col("n"))).select("a", "b"), "rest", None)
+    roots = link_components(spark, strong.union(tiled).union(rest.select("a", "b")), scratch).withColumnRenamed("node", "fp")
 
     # rep ids of classes name the components
     named = classes.join(roots, "fp", "left").select("fp", "n", "rep", F.coalesce("root", "fp").alias("root"))
