@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from nodeloom.llm import words as W
 from nodeloom.llm.frames import col, free, with_kernel
 
-FIT_ROWS = {1: 2_000, 0: 4_000}
-FIT_CHARS = 20_000
+FIT_ROWS = {1: 2_000, 0: 3_000}
+FIT_CHARS = 8_000
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 18
 DIM = 8
@@ -78,13 +78,17 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> tuple[np.ndarray, f
     first = np.searchsorted(doc, full)
     y = y[full].astype(np.float64)
     # first dimension: smoothed log odds of documents with the n-gram
-    seen = np.unique(doc.repeat(width[word].astype(np.int64)) * BUCKETS + bucket[np.repeat(edge[word], width[word].astype(np.int64)) + _within(width[word].astype(np.int64))])
-    of, has = np.searchsorted(full, seen // BUCKETS), seen % BUCKETS
     share = y.mean()
-    toxic, all_ = np.bincount(has, weights=y[of], minlength=BUCKETS), np.bincount(has, minlength=BUCKETS)
+    toxic, all_ = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    n_words = width.astype(np.int64)
+    for i, (low, high) in enumerate(zip(first, np.append(first[1:], len(doc)), strict=True)):
+        own = word[low:high]
+        has = np.unique(bucket[np.repeat(edge[own], n_words[own]) + _within(n_words[own])])
+        all_[has] += 1
+        toxic[has] += y[i]
     q = (toxic + PRIOR * share) / (all_ + PRIOR)
     rng = np.random.default_rng(seed)
-    E = rng.normal(0, 0.01, (BUCKETS, DIM))
+    E = rng.normal(0, 0.01, (BUCKETS, DIM)).astype(np.float32)
     E[:, 0] = np.log(q / (1 - q)) - np.log(share / (1 - share))
     V = np.zeros((2, DIM))
     V[1, 0] = 1.0
