@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,8 +79,6 @@ def assess(expression: str | None, call: str = "read") -> str:
 
 def assess_table(df: DataFrame, expression: str, call: str | None = None) -> DataFrame:
     """Adds assessment and hint columns to a table of expressions; the parser runs in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def judge(e: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series([assess(x, y) for x, y in zip(e, c, strict=True)])
