@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from nodeloom.llm import words as W
 from nodeloom.llm.frames import col, free, with_kernel
 
-FIT_ROWS = {1: 2_000, 0: 3_000}
-FIT_CHARS = 8_000
+FIT_ROWS = {1: 1_500, 0: 2_500}
+FIT_CHARS = 6_000
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 18
 DIM = 8
@@ -48,16 +48,16 @@ def subwords(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     inner[edge[:-1]] = inner[edge[1:] - 1] = False
     at = np.repeat(starts - np.concatenate([[0], np.cumsum(ends - starts)])[:-1], ends - starts) + np.arange(int((ends - starts).sum()))
     marked[inner] = b[at].astype(np.uint64) + np.uint64(2)
-    word = np.repeat(np.arange(len(n)), n)
+    word = np.repeat(np.arange(len(n), dtype=np.int32), n)
     buckets, owner = [], []
     for size in SIZES:
         if len(marked) < size:
             continue
         h = W.ngrams(marked, size, seed=size)
         ok = word[: len(h)] == word[size - 1 :]
-        buckets.append((h[ok] & np.uint64(BUCKETS - 1)).astype(np.int64))
+        buckets.append((h[ok] & np.uint64(BUCKETS - 1)).astype(np.int32))
         owner.append(word[: len(h)][ok])
-    bucket, owner = np.concatenate([*buckets, np.zeros(0, np.int64)]), np.concatenate([*owner, np.zeros(0, np.int64)])
+    bucket, owner = np.concatenate([*buckets, np.zeros(0, np.int32)]), np.concatenate([*owner, np.zeros(0, np.int32)])
     order = np.argsort(owner, kind="stable")
     return bucket[order], owner[order]
 
@@ -69,10 +69,13 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> tuple[np.ndarray, f
     c = next(W.chunks(pa.array(texts, pa.large_string()), W.NON_ALNUM, lower=True, limit=1 << 40))
     starts, ends, number = vocabulary(c)
     bucket, owner = subwords(c.b, starts, ends)
+    place = c.doc
+    del c
     width = np.bincount(owner, minlength=len(starts)).astype(np.float64)
     edge = np.searchsorted(owner, np.arange(len(starts) + 1))
     # distinct words of each document
-    pair = np.unique(c.doc * len(starts) + number)
+    pair = np.unique(place * len(starts) + number)
+    del place, number
     doc, word = pair // len(starts), pair % len(starts)
     full = np.flatnonzero(np.bincount(doc, minlength=len(texts)))
     first = np.searchsorted(doc, full)
