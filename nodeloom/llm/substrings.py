@@ -11,7 +11,9 @@ consecutive; together they are one compacted path of the graph, hashed whole.
 2. Branching paths are opened into their windows at their source coordinates,
    and windows are compared one by one. Both steps compare two independent
    64-bit hashes, of the anchor and of the whole content.
-3. The repeated spans of a document, in source coordinates, mark its words.
+3. The repeated spans of a document, in source coordinates, mark its words, there
+   and where the document has the same windows again: a path or window that a
+   document holds many times is dealt once.
 
 Nonbranching repeats (most of all repeats) thus cost one row for several
 windows, and windows are only made where documents part.
@@ -84,6 +86,8 @@ def _emit_paths(window: int, seed: int):
                 doc = np.searchsorted(c.edge, anchor, "right") - 1
                 place = _place(anchor - c.edge[doc], _tags(c, h)[doc], anchor - first, n)
                 key = W.mix(_path_hashes(h, first, n + window - 1) + ((anchor - first) * 64 + n).astype(np.uint64))
+                once = np.unique(W.mix(W.mix(mark + doc.astype(np.uint64)) ^ key), return_index=True)[1]
+                mark, key, doc, place = mark[once], key[once], doc[once], place[once]
                 out = pa.RecordBatch.from_arrays([pa.array(W.signed(mark)), pa.array(W.signed(key)), pa.array(ids[c.first + doc]), pa.array(place)], names=["anchor", "path", "doc_id", "place"])
                 yield out.filter(pa.array(known[c.first + doc]))
 
@@ -106,9 +110,11 @@ def _emit_windows(window: int, seed: int):
                         continue
                     word, ahead, n = p >> 28, (p >> 4) & 15, (p & 15) + 1
                     starts = np.repeat(word - ahead, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    own = h[c.edge[i] : c.edge[i + 1]]
+                    found = W.ngrams(h[c.edge[i] : c.edge[i + 1]], window)[starts]
+                    once = np.unique(found, return_index=True)[1]
+                    anchors, found, starts = np.repeat(g[c.edge[i] + word], n)[once], found[once], starts[once]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(W.signed(np.repeat(g[c.edge[i] + word], n))), pa.array(W.signed(W.ngrams(own, window)[starts])), pa.array(np.full(len(starts), ids[c.first + i])), pa.array(_place(starts, np.full(len(starts), tags[i]), np.zeros(len(starts), np.int64), np.ones(len(starts), np.int64)))],
+                        [pa.array(W.signed(anchors)), pa.array(W.signed(found)), pa.array(np.full(len(starts), ids[c.first + i])), pa.array(_place(starts, np.full(len(starts), tags[i]), np.zeros(len(starts), np.int64), np.ones(len(starts), np.int64)))],
                         names=["anchor", "path", "doc_id", "place"],
                     )
 
@@ -151,12 +157,12 @@ def _strip(window: int, as_hash: bool):
             if has and len(found) >= window:
                 c = next(W.chunks(pa.array([t.as_py()], pa.large_binary())))
                 p = places[at].values.to_numpy(zero_copy_only=False)
-                p = p[((p >> 8) & 0xFFFFF) == _tags(c, c.hashes())[0]]
-                start, n = (p >> 28) - ((p >> 4) & 15), (p & 15) + window
-                d = np.zeros(len(found) + 1, np.int64)
-                np.add.at(d, start, 1)
-                np.add.at(d, start + n, -1)
-                keep = list(compress(found, np.cumsum(d[:-1]) == 0))
+                h = c.hashes()
+                p = p[((p >> 8) & 0xFFFFF) == _tags(c, h)[0]]
+                windows = W.ngrams(h, window)
+                repeated = np.concatenate([windows[((p >> 28) - ((p >> 4) & 15))[(p & 15) >= j] + j] for j in range(16)])
+                covered = W.flags_cover(len(found), np.flatnonzero(np.isin(windows, repeated)), window)
+                keep = list(compress(found, ~covered))
             gone.append(len(found) - len(keep))
             joined = b" ".join(keep)
             kept.append(hashlib.sha256(joined).hexdigest() if as_hash else joined)
