@@ -52,6 +52,9 @@ def exact(v) -> Decimal | int | None:
 
 def num_key(v) -> str | None:
     """A text whose byte order is the order of numbers and whose equality is theirs, at any precision."""
+    if isinstance(v, int) and 0 < v < 1 << 62:
+        text = str(v)
+        return f"2{len(text) + 5_000_000_000:010d}{text.rstrip('0')}"
     x = exact(v)
     if x is None:
         return None

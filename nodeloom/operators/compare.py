@@ -104,15 +104,15 @@ class Checks:
 
     def value(self, expected) -> Column:
         """Exactly one node, equal to this value."""
-        from nodeloom.sources.shredder import shred_value
+        from nodeloom.sources.shredder import value_key
 
-        key = shred_value(expected)["nodes"][0]["key"]
+        key = value_key(expected)
         return F.coalesce(self.rows.keys() == F.array(F.lit(key)), F.lit(False))
 
     def values(self, *expected) -> Column:
-        from nodeloom.sources.shredder import shred_value
+        from nodeloom.sources.shredder import value_key
 
-        keys = [F.lit(shred_value(v)["nodes"][0]["key"]) for v in expected]
+        keys = [F.lit(value_key(v)) for v in expected]
         return F.coalesce(self.rows.keys() == F.array(*keys).cast("array<string>"), F.lit(False))
 
     def paths(self, *expected: str) -> Column:

@@ -11,6 +11,8 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +42,9 @@ NODE = T.StructType(
 DOC = T.StructType([T.StructField("text", T.StringType()), T.StructField("nodes", T.ArrayType(NODE))])
 ERROR = T.StructType([T.StructField("reason", T.StringType()), T.StructField("position", T.IntegerType())])
 
+#: Documents whose trees a worker holds at once.
+ROWS = 1000
+
 #: Kind letters of node keys.
 LETTERS = {"object": "o", "array": "a", "string": "s", "number": "n", "boolean": "b", "null": "z"}
 
@@ -63,78 +68,134 @@ def _digest(letter: str, parts: list[str]) -> str:
     return letter + h.hexdigest()
 
 
-def shred_value(value) -> dict:
-    """The DOC of one value; iterative, so depth is no problem."""
-    nodes: list[dict] = []
-    text: list[str] = []
-    size = 0
-
-    def put(s: str) -> None:
-        nonlocal size
-        text.append(s)
-        size += len(s)
-
-    todo: list[tuple] = [("open", value, None, None, -1, 0)]
-    while todo:
-        item = todo.pop()
-        if item[0] == "put":
-            put(item[1])
-            continue
-        if item[0] == "close":
-            _, at, mark = item
-            put(mark)
-            n = nodes[at]
-            n["last"], n["len"] = len(nodes) - 1, size - n["pos"]
-            kids = [nodes[c] for c in n["ch"]]
-            n["key"] = _digest("a", [c["key"] for c in kids]) if mark == "]" else _digest("o", [x for c in sorted(kids, key=lambda c: c["name"]) for x in (c["name"], c["key"])])
-            continue
-        _, v, name, idx, parent, depth = item
-        at = len(nodes)
-        step = "" if parent < 0 else step_text(name if idx is None else idx)
-        node = {"key": None, "name": name, "idx": idx, "step": step, "parent": parent, "last": at, "depth": depth, "num": None, "pos": size, "len": 0, "ch": []}
-        nodes.append(node)
-        if parent >= 0:
-            nodes[parent]["ch"].append(at)
-        if isinstance(v, dict):
-            put("{")
-            todo.append(("close", at, "}"))
-            for i, (n, x) in reversed(list(enumerate(v.items()))):
-                todo.append(("open", x, n, None, at, depth + 1))
-                todo.append(("put", "," * (i > 0) + json.dumps(n, ensure_ascii=False) + ":"))
-        elif isinstance(v, (list, tuple)):
-            put("[")
-            todo.append(("close", at, "]"))
-            for i, x in reversed(list(enumerate(v))):
-                todo.append(("open", x, None, i, at, depth + 1))
-                if i:
-                    todo.append(("put", ","))
-        else:
-            node["key"] = scalar_key(v)
-            if node["key"][0] == "n":
-                node["num"] = float(v)
-            put(json_text.write(v))
-            node["len"] = size - node["pos"]
-    return {"text": "".join(text), "nodes": nodes}
+_step = lru_cache(maxsize=10_000)(step_text)
+_quoted = lru_cache(maxsize=10_000)(lambda s: json.dumps(s, ensure_ascii=False))
+
+
+class Trees:
+    """The trees of a batch of values, column by column."""
+
+    def __init__(self):
+        self.texts: list[str | None] = []
+        self.ends = [0]
+        self.key, self.name, self.idx, self.step, self.parent, self.last, self.depth, self.num, self.pos, self.len, self.ch = ([] for _ in range(11))
+
+    def skip(self) -> None:
+        """A row without a tree."""
+        self.texts.append(None)
+        self.ends.append(self.ends[-1])
+
+    def add(self, value) -> None:
+        """The tree of one value; iterative, so depth is no problem. A value that fails leaves nothing."""
+        first = len(self.key)
+        try:
+            self.texts.append(self._walk(value, first))
+        except (TypeError, ValueError, OverflowError):
+            for column in (self.key, self.name, self.idx, self.step, self.parent, self.last, self.depth, self.num, self.pos, self.len, self.ch):
+                del column[first:]
+            raise
+        self.ends.append(len(self.key))
+
+    def _walk(self, value, first: int) -> str:
+        key, name, idx, step, parent, last, depth, num, pos, length, ch = self.key, self.name, self.idx, self.step, self.parent, self.last, self.depth, self.num, self.pos, self.len, self.ch
+        text: list[str] = []
+        size = 0
+        # (text before, value, name, index, parent, depth) of a node to open, (mark, number) of one to close
+        todo: list[tuple] = [("", value, None, None, -1, 0)]
+        while todo:
+            item = todo.pop()
+            if len(item) == 2:
+                mark, at = item
+                text.append(mark)
+                size += 1
+                i = first + at
+                last[i], length[i] = len(key) - first - 1, size - pos[i]
+                kids = [first + c for c in ch[i]]
+                key[i] = _digest("a", [key[c] for c in kids]) if mark == "]" else _digest("o", [x for c in sorted(kids, key=name.__getitem__) for x in (name[c], key[c])])
+                continue
+            before, v, own, index, up, deep = item
+            if before:
+                text.append(before)
+                size += len(before)
+            i = len(key)
+            at = i - first
+            name.append(own)
+            idx.append(index)
+            step.append("" if up < 0 else _step(own if index is None else index))
+            parent.append(up)
+            last.append(at)
+            depth.append(deep)
+            pos.append(size)
+            if up >= 0:
+                ch[first + up].append(at)
+            if isinstance(v, dict) or isinstance(v, (list, tuple)):
+                key.append(None)
+                num.append(None)
+                length.append(0)
+                ch.append([])
+                size += 1
+                if isinstance(v, dict):
+                    text.append("{")
+                    todo.append(("}", at))
+                    kids = [(("," if j else "") + _quoted(n) + ":", x, n, None, at, deep + 1) for j, (n, x) in enumerate(v.items())]
+                else:
+                    text.append("[")
+                    todo.append(("]", at))
+                    kids = [("," if j else "", x, None, j, at, deep + 1) for j, x in enumerate(v)]
+                kids.reverse()
+                todo += kids
+                continue
+            k = scalar_key(v)
+            key.append(k)
+            num.append(float(v) if k[0] == "n" else None)
+            shown = _quoted(v) if k[0] == "s" and len(v) < 100 else json_text.write(v)
+            text.append(shown)
+            length.append(len(shown))
+            size += len(shown)
+            ch.append([])
+        return "".join(text)
+
+    def array(self) -> pa.StructArray:
+        """The batch as DOC."""
+        lengths = [0, *accumulate(map(len, self.ch))]
+        children = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(list(chain.from_iterable(self.ch)), pa.int32()))
+        columns = [self.key, self.name, self.idx, self.step, self.parent, self.last, self.depth, self.num, self.pos, self.len]
+        kinds = list(to_arrow_type(NODE))
+        nodes = pa.StructArray.from_arrays([*[pa.array(c, k.type) for c, k in zip(columns, kinds, strict=False)], children.cast(kinds[-1].type)], fields=kinds)
+        doc = to_arrow_type(DOC)
+        missing = pa.array([t is None for t in self.texts], pa.bool_())
+        lists = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), nodes).cast(doc.field("nodes").type)
+        return pa.StructArray.from_arrays([pa.array(self.texts, pa.string()), lists], fields=list(doc), mask=missing)
+
+
+def value_key(value) -> str:
+    """The comparison key of any value."""
+    trees = Trees()
+    trees.add(value)
+    return trees.key[0]
 
 
 def _shred(kept: list[str], mode: str):
-    doc_type, error_type = to_arrow_type(DOC), to_arrow_type(ERROR)
+    error_type = to_arrow_type(ERROR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, errors = [], []
-            for t in batch.column("json").to_pylist():
-                doc = error = None
-                if t is not None:
-                    try:
-                        doc = shred_value(json_text.parse(t))
-                    except (json_text.InvalidJsonError, OverflowError) as e:
-                        if mode == "fail":
-                            raise
-                        error = {"reason": getattr(e, "reason", str(e)), "position": getattr(e, "position", 0)}
-                docs.append(doc)
-                errors.append(error)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(docs, doc_type), pa.array(errors, error_type)], names=[*kept, "doc", "error"])
+        for whole in batches:
+            for start in range(0, len(whole), ROWS):
+                batch, trees, errors = whole.slice(start, ROWS), Trees(), []
+                for t in batch.column("json").to_pylist():
+                    error = None
+                    if t is None:
+                        trees.skip()
+                    else:
+                        try:
+                            trees.add(json_text.parse(t))
+                        except (json_text.InvalidJsonError, OverflowError) as e:
+                            if mode == "fail":
+                                raise
+                            trees.skip()
+                            error = {"reason": getattr(e, "reason", str(e)), "position": getattr(e, "position", 0)}
+                    errors.append(error)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], trees.array(), pa.array(errors, error_type)], names=[*kept, "doc", "error"])
 
     return run
 
