@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,10 @@ def col(name: str) -> Column:
 SMALL_ROWS = 500_000
 
 
+#: Links (16 bytes each) that one task joins into components by itself; more go through distributed rounds.
+ONE_TASK = 500_000
+
+
 def small(table: DataFrame) -> DataFrame:
     """A stored table of a few numeric columns, to be broadcast if its counted rows allow it."""
     return F.broadcast(table) if table.count() <= SMALL_ROWS else table
@@ -75,18 +80,46 @@ def running(df: DataFrame, group: list[str], value: str, order: list[str], into:
     return hashed.join(offsets, keys).withColumn(into, own + F.col(before)).drop(h, part, before)
 
 
+def _join_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if not parts:
+        return
+    a, b = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = least_reached(len(nodes), at[: len(a)], at[len(a) :])
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
+
+
+def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of n numbers that each reaches over the pairs (a, b): minima spread and paths halve until nothing changes."""
+    root = np.arange(n)
+    while True:
+        new, low = root.copy(), np.minimum(root[a], root[b])
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def link_components(spark: SparkSession, edges: DataFrame, scratch) -> DataFrame:
     """(node, root): the least node reachable over edges (a, b), for every node that has one.
 
-    Alternating large-star and small-star rounds; every round is written to the
-    shared folder. Hot nodes only meet in minima (combined before the shuffle)
-    and in joins that adaptive execution can split.
+    Up to ONE_TASK counted links are joined in one task. Beyond, alternating
+    large-star and small-star rounds; every round is written to the shared
+    folder. Hot nodes only meet in minima (combined before the shuffle) and in
+    joins that adaptive execution can split.
     """
 
     def tidy(pairs: DataFrame) -> DataFrame:
         return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     now = scratch.keep(tidy(edges.select("a", "b")), "edges")
+    if now.count() <= ONE_TASK:
+        return scratch.keep(now.coalesce(1).mapInArrow(_join_links, "node long, root long"), "components")
     seen = None
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()

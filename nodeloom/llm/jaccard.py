@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from nodeloom.llm import words as W
-from nodeloom.llm.frames import col, link_components, small, with_kernel
+from nodeloom.llm.frames import col, least_reached, link_components, small, with_kernel
 from nodeloom.llm.store import Scratch
 
 K = 5
@@ -248,15 +248,7 @@ def _tile(least: int):
         i, j = np.nonzero(100 * common >= least * union)
         a, b = fp[left[i]], fp[right[j]]
         names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        root, p, q = np.arange(len(names)), at[: len(a)], at[len(a) :]
-        while True:
-            new, low = root.copy(), np.minimum(root[p], root[q])
-            np.minimum.at(new, p, low)
-            np.minimum.at(new, q, low)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
+        root = least_reached(len(names), at[: len(a)], at[len(a) :])
         apart = root != np.arange(len(names))
         return pa.Table.from_arrays([pa.array(names[apart]), pa.array(names[root[apart]])], schema=schema)
 
@@ -272,11 +264,11 @@ class _Links:
     def sets(self, names: DataFrame, what: str) -> DataFrame:
         """(n, fp, tokens) of the named classes, read from one document of each."""
         wanted = self.scratch.keep(self.classes.join(names, "fp", "left_semi"), f"{what}-wanted")
-        ids = self.scratch.keep(wanted.select(F.col("rep").alias("doc_id")).distinct(), f"{what}-ids")
-        chosen = self.texts.join(small(ids), "doc_id", "left_semi")
-        sets = with_kernel(chosen, _whole(self.k), SETS, "s", "t", []).select("s.*").join(small(wanted.select("fp", "n")), ["fp", "n"], "left_semi")
+        held = small(wanted)
+        chosen = self.texts.join(held.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+        sets = with_kernel(chosen, _whole(self.k), SETS, "s", "t", []).select("s.*").join(held.select("fp", "n"), ["fp", "n"], "left_semi")
         sets = self.scratch.keep(sets.dropDuplicates(["fp"]), f"{what}-sets")
-        self.scratch.drop(wanted, ids)
+        self.scratch.drop(wanted)
         return sets
 
     def of(self, pairs: DataFrame, what: str, loose: int | None) -> DataFrame:

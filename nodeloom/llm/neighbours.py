@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nodeloom.llm.frames import col, link_components, small
+from nodeloom.llm.frames import col, least_reached, link_components, small
 from nodeloom.llm.store import Scratch
 
 LIMIT = 0.98
@@ -95,20 +95,6 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.int64()), pa.array(np.full(len(ids), dim, np.int32)), pa.array(cls, pa.int64()), one(cuts), one(u)], names=["vec_id", "label", "dim", "cls", "cuts", "vector"])
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least row number that each of n rows reaches over the pairs."""
-    root = np.arange(n)
-    while True:
-        new = root.copy()
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _tile(limit: float, least: int):
     schema = pa.schema([("cls", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
@@ -145,7 +131,7 @@ def _tile(limit: float, least: int):
         np.add.at(links, a, copies[b])
         np.add.at(links, b, copies[a])
         on = np.flatnonzero(links)
-        root = _roots(len(cls), a, b)
+        root = least_reached(len(cls), a, b)
         return pa.Table.from_arrays([pa.array(cls[on]), pa.array(links[on]), pa.array(cls[root[on]])], schema=schema)
 
     return run

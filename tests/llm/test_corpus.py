@@ -79,9 +79,10 @@ def test_jaccard(spark, docs, empty, texts):
 
 
 def test_jaccard_by_every_path(spark, docs, texts, monkeypatch):
-    """The same groups without stars (all pairs listed) and with tiles of three sets."""
+    """The same groups with tiles of three sets and with components from distributed rounds."""
     want = sorted((str(r.doc_id), str(r.component_id)) for r in jaccard.jaccard_groups(spark, docs).collect())
     monkeypatch.setattr(jaccard, "TILE", 3)
+    monkeypatch.setattr("nodeloom.llm.frames.ONE_TASK", 0)
     assert sorted((str(r.doc_id), str(r.component_id)) for r in jaccard.jaccard_groups(spark, docs).collect()) == want
 
 
