@@ -287,8 +287,8 @@ def test_neighbours(spark, monkeypatch):
         v = base[i % 60] + rng.normal(size=32) * (0.08 if i % 3 else 0.0)
         rows.append((i, [float(x) for x in v.astype(np.float32)], i % 60 % 3 if i % 50 else None))
     rows += [(1000, None, 1), (1001, [0.0] * 32, 1), (1002, [float("nan")] * 32, 1), (1003, [1.0, None], 1), (1004, [], 1), (1005, [float("inf")] * 32, 1), (None, rows[4][1], rows[4][2]), rows[3]]
-    monkeypatch.setattr(neighbours, "LEAF", 40)
-    monkeypatch.setattr(neighbours, "TILE", 25)
+    monkeypatch.setattr(neighbours, "LEAF", 100)
+    monkeypatch.setattr(neighbours, "TILE", 100)
     out = neighbours.near_links(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
     ok = lambda r: r[2] is not None and r[1] and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])
     n, want, root = [0] * len(rows), 0, list(range(len(rows)))
@@ -298,18 +298,22 @@ def test_neighbours(spark, monkeypatch):
             x = root[x]
         return x
 
-    for i in range(len(rows)):
-        for j in range(i):
-            if ok(rows[i]) and ok(rows[j]) and rows[i][2] == rows[j][2]:
-                a, b = np.array(rows[i][1]), np.array(rows[j][1])
-                if a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.98:
-                    n[i] += 1
-                    n[j] += 1
-                    root[max(find(i), find(j))] = min(find(i), find(j))
+    units = {i: np.array(r[1]) / np.linalg.norm(r[1]) for i, r in enumerate(rows) if ok(r)}
+    for i in units:
+        for j in units:
+            if j < i and rows[i][2] == rows[j][2] and units[i] @ units[j] >= 0.98:
+                n[i] += 1
+                n[j] += 1
+                root[max(find(i), find(j))] = min(find(i), find(j))
     want = sum(n)
     assert want > 1000 and 0.98 * want <= sum(r.n_links for r in out) <= want
     assert len(out) == len(rows) and all(r.n_links == 0 and r.kept for r in out if r.vec_id is not None and r.vec_id >= 1000)
-    wrong = sum(1 for r in out if r.vec_id is not None and r.component_id != min(x for x in (rows[k][0] for k in range(len(rows)) if find(k) == find(next(i for i, q in enumerate(rows) if q[0] == r.vec_id))) if x is not None))
+    least: dict[int, int] = {}
+    for k, r in enumerate(rows):
+        if r[0] is not None:
+            least[find(k)] = min(r[0], least.get(find(k), r[0]))
+    place = {r[0]: find(k) for k, r in enumerate(rows)}
+    wrong = sum(r.component_id != least[place[r.vec_id]] for r in out if r.vec_id is not None)
     assert wrong <= 0.02 * len(rows)
     assert neighbours.near_links(spark, spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
