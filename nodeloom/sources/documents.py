@@ -5,12 +5,16 @@ from __future__ import annotations
 import re
 from decimal import Decimal
 
-import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodeloom.sources import json_text
 
+try:
+    import yaml
+except ImportError:  # JSON documents work without it
+    yaml = None
+
 JSON, YAML = "json", "yaml"
 MAX_CODE_POINTS = 256 << 20
 
@@ -19,43 +23,41 @@ class DocumentError(ValueError):
     pass
 
 
-class _Loader(yaml.SafeLoader):
-    """YAML 1.2 core scalars: only true and false are booleans, decimals stay exact, names are unique strings."""
-
-    yaml_implicit_resolvers: dict = {}
-
+if yaml:
 
-for tag, pattern, first in (
-    ("tag:yaml.org,2002:bool", r"^(?:true|True|TRUE|false|False|FALSE)$", "tTfF"),
-    ("tag:yaml.org,2002:null", r"^(?:~|null|Null|NULL|)$", "~nN\0"),
-    ("tag:yaml.org,2002:int", r"^(?:[-+]?[0-9]+|0o[0-7]+|0x[0-9a-fA-F]+)$", "-+0123456789"),
-    ("tag:yaml.org,2002:float", r"^[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?$", "-+.0123456789"),
-    ("tag:yaml.org,2002:merge", r"^<<$", "<"),
-):
-    _Loader.add_implicit_resolver(tag, re.compile(pattern), [c if c != "\0" else "" for c in first])
+    class _Loader(yaml.SafeLoader):
+        """YAML 1.2 core scalars: only true and false are booleans, decimals stay exact, names are unique strings."""
 
+        yaml_implicit_resolvers: dict = {}
 
-def _int(loader, node):
-    text = node.value
-    return int(text[2:], 8) if text.startswith("0o") else int(text[2:], 16) if text.startswith("0x") else int(text)
+    for tag, pattern, first in (
+        ("tag:yaml.org,2002:bool", r"^(?:true|True|TRUE|false|False|FALSE)$", "tTfF"),
+        ("tag:yaml.org,2002:null", r"^(?:~|null|Null|NULL|)$", "~nN\0"),
+        ("tag:yaml.org,2002:int", r"^(?:[-+]?[0-9]+|0o[0-7]+|0x[0-9a-fA-F]+)$", "-+0123456789"),
+        ("tag:yaml.org,2002:float", r"^[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?$", "-+.0123456789"),
+        ("tag:yaml.org,2002:merge", r"^<<$", "<"),
+    ):
+        _Loader.add_implicit_resolver(tag, re.compile(pattern), [c if c != "\0" else "" for c in first])
 
+    def _int(loader, node):
+        text = node.value
+        return int(text[2:], 8) if text.startswith("0o") else int(text[2:], 16) if text.startswith("0x") else int(text)
 
-def _map(loader, node):
-    loader.flatten_mapping(node)
-    out = {}
-    for k, v in node.value:
-        name = k.value if isinstance(k, yaml.ScalarNode) else None
-        if name is None:
-            raise DocumentError("member names must be scalars")
-        if name in out:
-            raise DocumentError(f"duplicate member name {name!r}")
-        out[name] = loader.construct_object(v, deep=True)
-    return out
+    def _map(loader, node):
+        loader.flatten_mapping(node)
+        out = {}
+        for k, v in node.value:
+            name = k.value if isinstance(k, yaml.ScalarNode) else None
+            if name is None:
+                raise DocumentError("member names must be scalars")
+            if name in out:
+                raise DocumentError(f"duplicate member name {name!r}")
+            out[name] = loader.construct_object(v, deep=True)
+        return out
 
-
-_Loader.add_constructor("tag:yaml.org,2002:int", _int)
-_Loader.add_constructor("tag:yaml.org,2002:float", lambda loader, node: Decimal(node.value))
-_Loader.add_constructor("tag:yaml.org,2002:map", _map)
+    _Loader.add_constructor("tag:yaml.org,2002:int", _int)
+    _Loader.add_constructor("tag:yaml.org,2002:float", lambda loader, node: Decimal(node.value))
+    _Loader.add_constructor("tag:yaml.org,2002:map", _map)
 
 
 def parse_as(text: str, kind: str):
@@ -65,6 +67,8 @@ def parse_as(text: str, kind: str):
         raise DocumentError("the document is empty")
     if kind == JSON:
         return json_text.parse(text)
+    if yaml is None:
+        raise DocumentError("YAML documents need PyYAML")
     if len(text) > MAX_CODE_POINTS:
         raise DocumentError("the document is too large")
     try:
@@ -90,26 +94,27 @@ def parse(text: str):
     return parse_as(text, YAML)
 
 
-class _Dumper(yaml.SafeDumper):
-    def ignore_aliases(self, data) -> bool:
-        return True
-
-
-_NUMERIC = re.compile(r"[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?|0[ox][0-9a-fA-F]+")
+if yaml:
 
+    class _Dumper(yaml.SafeDumper):
+        def ignore_aliases(self, data) -> bool:
+            return True
 
-def _string(dumper, text: str):
-    return dumper.represent_scalar("tag:yaml.org,2002:str", text, style='"' if _NUMERIC.fullmatch(text) else "|" if "\n" in text else None)
+    _NUMERIC = re.compile(r"[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?|0[ox][0-9a-fA-F]+")
 
+    def _string(dumper, text: str):
+        return dumper.represent_scalar("tag:yaml.org,2002:str", text, style='"' if _NUMERIC.fullmatch(text) else "|" if "\n" in text else None)
 
-_Dumper.add_representer(str, _string)
-_Dumper.add_representer(Decimal, lambda d, v: d.represent_scalar("tag:yaml.org,2002:float", json_text.number_text(v)))
+    _Dumper.add_representer(str, _string)
+    _Dumper.add_representer(Decimal, lambda d, v: d.represent_scalar("tag:yaml.org,2002:float", json_text.number_text(v)))
 
 
 def write(value, kind: str = JSON) -> str:
     """JSON with two spaces a level, or YAML without a document mark; both end with a line break."""
     if kind == JSON:
         return json_text.write(value, indent=2) + "\n"
+    if yaml is None:
+        raise DocumentError("YAML documents need PyYAML")
     return yaml.dump(value, Dumper=_Dumper, sort_keys=False, allow_unicode=True, default_flow_style=False, width=1 << 20)
 
 
