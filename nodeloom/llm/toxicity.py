@@ -7,7 +7,9 @@ most toxic word, so one word counts in a text of any length. Misspellings and
 inflections that training never saw share n-grams with words that it saw.
 
 The classifier is fitted on a bounded sample of labelled rows: FIT_ROWS of each
-label by a hash of doc_id, texts of up to FIT_CHARS code points. Every whole
+label by a hash of doc_id, whatever the length of their texts. Training asks
+only which words a text has, so Spark sends the driver each sampled text's
+distinct words; driver memory goes with these, not with the texts. Every whole
 text is scored.
 """
 
@@ -22,8 +24,9 @@ from pyspark.sql import types as T
 from nodeloom.llm import words as W
 from nodeloom.llm.frames import col, free, with_kernel
 
-FIT_ROWS = {1: 1_500, 0: 2_500}
-FIT_CHARS = 6_000
+FIT_ROWS = {1: 2_000, 0: 4_000}
+#: Words whose n-grams are made or summed at a time while training.
+BLOCK_WORDS = 1 << 15
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 18
 DIM = 8
@@ -62,29 +65,54 @@ def subwords(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return bucket[order], owner[order]
 
 
-def train(texts: list[str], y: np.ndarray, seed: int = 5) -> tuple[np.ndarray, float]:
+def distinct(texts: pa.Array) -> list[pa.Array]:
+    """The distinct lower-cased words of each text, with spaces between."""
+    out = []
+    for c in W.chunks(texts, W.NON_ALNUM, lower=True):
+        h, doc, data = c.hashes(), c.doc, c.b.tobytes()
+        order = np.lexsort((h, doc))
+        new = np.ones(len(order), bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+        kept = np.sort(order[new])
+        edge = np.searchsorted(kept, c.edge)
+        for i in range(c.n):
+            own = kept[edge[i] : edge[i + 1]]
+            out.append(b" ".join([data[a:z] for a, z in zip(c.starts[own].tolist(), c.ends[own].tolist(), strict=True)]))
+    return [pa.array(out, pa.binary())]
+
+
+def train(texts: pa.Array | pa.ChunkedArray, y: np.ndarray, seed: int = 5) -> tuple[np.ndarray, float]:
     """Scores by bucket (embedding times the difference of the softmax rows) and the bias."""
     if not len(texts) or y.min() == y.max():
         return np.zeros(BUCKETS, np.float32), float(20 * (y.mean() - 0.5)) if len(texts) else -10.0
-    c = next(W.chunks(pa.array(texts, pa.large_string()), W.NON_ALNUM, lower=True, limit=1 << 40))
+    c = next(W.chunks(texts, W.NON_ALNUM, lower=True, limit=1 << 40))
     starts, ends, number = vocabulary(c)
-    bucket, owner = subwords(c.b, starts, ends)
-    place = c.doc
-    del c
-    width = np.bincount(owner, minlength=len(starts)).astype(np.float64)
-    edge = np.searchsorted(owner, np.arange(len(starts) + 1))
+    blocks = range(0, len(starts), BLOCK_WORDS)
+    bucket, width = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for i in blocks:
+        some, owner = subwords(c.b, starts[i : i + BLOCK_WORDS], ends[i : i + BLOCK_WORDS])
+        bucket.append(some)
+        width.append(np.bincount(owner, minlength=len(starts[i : i + BLOCK_WORDS])))
+    bucket, n_words = np.concatenate(bucket), np.concatenate(width)
+    edge = np.concatenate([[0], np.cumsum(n_words)])
     # distinct words of each document
-    pair = np.unique(place * len(starts) + number)
-    del place, number
-    doc, word = pair // len(starts), pair % len(starts)
-    full = np.flatnonzero(np.bincount(doc, minlength=len(texts)))
-    first = np.searchsorted(doc, full)
+    pair = np.unique(c.doc * len(starts) + number)
+    del c, number
+    n_texts = np.bincount(pair // max(1, len(starts)), minlength=len(texts))
+    word = (pair % max(1, len(starts))).astype(np.int32)
+    del pair
+    full = np.flatnonzero(n_texts)
+    held = n_texts[full]
+    first = np.cumsum(held) - held
+    if not len(full):
+        return np.zeros(BUCKETS, np.float32), float(20 * (y.mean() - 0.5))
     y = y[full].astype(np.float64)
     # first dimension: smoothed log odds of documents with the n-gram
     share = y.mean()
+    if share in (0, 1):
+        return np.zeros(BUCKETS, np.float32), float(20 * (share - 0.5))
     toxic, all_ = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    n_words = width.astype(np.int64)
-    for i, (low, high) in enumerate(zip(first, np.append(first[1:], len(doc)), strict=True)):
+    for i, (low, high) in enumerate(zip(first, first + held, strict=True)):
         own = word[low:high]
         has = np.unique(bucket[np.repeat(edge[own], n_words[own]) + _within(n_words[own])])
         all_[has] += 1
@@ -99,13 +127,14 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> tuple[np.ndarray, f
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
     for _ in range(EPOCHS):
         s = E @ (V[1] - V[0])
-        logits = np.bincount(owner, weights=s[bucket], minlength=len(starts)) / np.maximum(width, 1)
-        top = np.maximum.reduceat(logits[word], first)
-        order = np.lexsort((-logits[word], doc))
-        pick = word[order][first]
+        logits = np.concatenate([_sums(s, bucket[edge[i] : edge[min(i + BLOCK_WORDS, len(starts))]], n_words[i : i + BLOCK_WORDS]) for i in blocks]) / np.maximum(n_words, 1)
+        own = logits[word]
+        top = np.maximum.reduceat(own, first)
+        best = np.flatnonzero(own == np.repeat(top, held))
+        pick = word[best[np.searchsorted(best, first)]]
         p = 1 / (1 + np.exp(-(top + bias[1] - bias[0])))
         err = weight * (p - y)
-        n = width[pick].astype(np.int64)
+        n = n_words[pick]
         rows = bucket[np.repeat(edge[pick], n) + _within(n)]
         means = np.stack([np.bincount(np.repeat(np.arange(len(pick)), n), weights=E[rows, d], minlength=len(pick)) for d in range(DIM)], 1) / np.maximum(n, 1)[:, None]
         dV = np.outer([-1.0, 1.0], (err[:, None] * means).sum(0)) / len(y)
@@ -121,6 +150,11 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> tuple[np.ndarray, f
     return (E @ (V[1] - V[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
+def _sums(s: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sum of s over the n-grams of each of some words, which have n of them."""
+    return np.bincount(np.repeat(np.arange(len(n)), n), weights=s[bucket], minlength=len(n))
+
+
 def _within(n: np.ndarray) -> np.ndarray:
     """0..n[0] - 1, 0..n[1] - 1, ..."""
     return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -157,11 +191,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: dict[int,
         some = labels.where((F.col("toxic") == y) & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         ids += [(r[0], y) for r in some.collect()]  # at most FIT_ROWS
     if not ids:
-        return train([], np.zeros(0))
+        return train(pa.array([], pa.binary()), np.zeros(0))
     wanted = spark.createDataFrame(ids, "doc_id long, toxic int")
-    texts = docs.select(col("doc_id").alias("doc_id"), col(text).alias("t")).where(F.length("t") <= FIT_CHARS)
-    got = texts.join(F.broadcast(wanted), "doc_id").orderBy("doc_id", "t").select("t", "toxic").toArrow()  # bounded by FIT_ROWS and FIT_CHARS
-    return train(got.column("t").to_pylist(), got.column("toxic").to_numpy())
+    texts = docs.select(col("doc_id").alias("doc_id"), col(text).alias("t")).where("t is not null")
+    bags = with_kernel(texts.join(F.broadcast(wanted), "doc_id"), distinct, T.StructType([T.StructField("words", T.BinaryType())]), "bag", "t", ["doc_id", "toxic"])
+    got = bags.orderBy("doc_id", "bag.words").select("bag.words", "toxic").toArrow()  # distinct words of FIT_ROWS texts
+    return train(got.column("words"), got.column("toxic").to_numpy())
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, into: str = "toxicity", text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,6 +267,24 @@ def test_toxicity(spark, empty):
     assert toxicity.toxicity(empty, y).count() == 0 and toxicity.toxicity(df, y.limit(0)).count() == len(rows)
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    assert toxicity.distinct(pa.array(["B a, b A'c", None, "..."]))[0].to_pylist() == [b"b a c", b"", b""]
+    rng = random.Random(6)
+    clean = ["thand", "ereth", "onwhe", "ingly", "haore", "stnda", "blewh"]
+    rows, labels = [], []
+    for i in range(200):  # every text of a toxic label is above 6,000 characters
+        w = [rng.choice(clean) + rng.choice(clean) for _ in range(800)]
+        if i % 4 == 0:
+            w[rng.randrange(len(w))] = "grumpf" + rng.choice(["", "s", "er", "y"])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    assert min(len(t) for _, t in rows) > 6_000
+    df, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    out = {r.doc_id: r.toxicity.predicted for r in toxicity.toxicity(df, y.where(~toxicity.held_out())).collect()}
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(out[i] for i in held if i % 4 == 0) > 0 and sum(out[i] == (i % 4 == 0) for i in held) >= 0.97 * len(held)
+
+
 def test_pages(spark):
     article = lambda x: f"<article><header><h1>T &amp; {x}</h1></header><p>One<br>two <b>three</b> <span class='ad'>buy</span> {x}<p>Five &lt;b&gt;<script>var a='</p>';</script><aside>side</aside><div id='comments'><p>c</p></div><form>f<input></form></article>"
     rows = [(1, "https://a.example/x", f"<body><nav><ul><li>menu</ul></nav><div class='cookie-notice'>We use</div>{article('x')}<footer>&copy;</footer>"), (2, None, None), (3, "", ""), (4, "https://b.example/", "<nav>m</nav>")]
