@@ -3,12 +3,15 @@
 A page is read into blocks of text. Elements whose tag, role, class or id says
 menu, header, footer, sidebar, notice, advert, form or comment are left out;
 where the page has an article (or main) element, only blocks inside it stay.
-What is left of templates shows by repetition: every remaining element subtree
-is hashed, Spark counts on how many different pages of a host each hash occurs,
-and subtrees recurring on a large share of the host's pages are deleted.
+What is left of templates shows by repetition: every element subtree is hashed,
+those that the rules leave out too, Spark counts on how many different pages
+each hash occurs, and subtrees are deleted that recur on a large share of the
+pages of their host, of its pages with or without an article, of a section (the
+first directory of the path) or of a template (the containers outside the
+article, with their classes and ids).
 
-Pages with equal text count once, so copies of an article do not make it look
-like a template.
+Pages of a host with equal text count once, so copies of an article do not make
+it look like a template.
 """
 
 from __future__ import annotations
@@ -19,14 +22,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nodeloom.llm.frames import col, small, with_kernel
 from nodeloom.llm.store import Scratch
 
-#: A subtree goes when this share of its host's pages (distinct texts), and at least so many, have it.
+#: A subtree goes when this share of the pages (distinct texts) of one of its page's groups, and at least so many, have it.
 SHARE, PAGES = 0.3, 10
 #: Inside an article more is asked for, as articles quote each other.
 ARTICLE_SHARE, ARTICLE_PAGES = 0.7, 20
@@ -43,6 +46,10 @@ MARKS = frozenset("ad ads adbox advert adverts advertisement advertising banner
 COMMENTS = frozenset("comment comments reply replies disqus respond".split())
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 WORD = re.compile(r"[a-z0-9]+")
+#: Elements that tell a template by themselves, others by a class or id only; so many levels of either count.
+CONTAINERS = frozenset("article aside body div footer form header main nav section".split())
+LEVELS = 4
+NAMES = re.compile(r"[a-z]+")
 
 
 def _out(tag: str, attributes: str, in_article: bool) -> bool:
@@ -66,12 +73,26 @@ def _out(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]], bool]:
-    """The blocks left, their elements as (hash, first block, end), and whether they are of an article."""
+def _name(tag: str, attributes: str) -> str | None:
+    """A container's tag with the words of its class and id, without numbers."""
+    words = {w for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id") for w in NAMES.findall((m[2] or m[3] or m[4] or "").lower())}
+    return ".".join([tag, *sorted(words)]) if words or tag in CONTAINERS else None
+
+
+def _hash(parts: list[str]) -> int:
+    return xxhash.xxh64_intdigest("\x00".join(parts)) - (1 << 63)
+
+
+def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]], bool, list[int], int]:
+    """The blocks left, their elements as (hash, first block, end), whether they are of an article, hashes of the other elements, and the template's."""
     blocks: list[tuple[str, bool]] = []
     trees: list[tuple[str, int, int, bool]] = []
-    stack: list[tuple[str, int, bool, bool]] = []  # tag, first block, left out, inside article
+    stack: list[tuple[str, int, bool, bool, str | None]] = []  # tag, first block, left out, inside article, place in the template
     text: list[str] = []
+    lost: list[str] = []  # blocks of elements left out
+    lost_text: list[str] = []
+    left: list[int] = []
+    shape: set[str] = set()
     out = inside = False
 
     def flush() -> None:
@@ -81,12 +102,23 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]], bool]:
                 blocks.append((joined, inside))
             text.clear()
 
+    def flush_lost() -> None:
+        if lost_text:
+            joined = " ".join(html.unescape("".join(lost_text)).split())
+            if joined:
+                lost.append(joined)
+            lost_text.clear()
+
     def close(n: int) -> None:
         nonlocal out, inside
         flush()
+        flush_lost()
         while len(stack) > n:
-            tag, first, _, within = stack.pop()
-            if not out and len(blocks) > first and tag not in ("html", "body", "main", "article"):
+            tag, first, gone, within, _ = stack.pop()
+            if gone:
+                if len(lost) > first:
+                    left.append(_hash([tag, *lost[first:]]))
+            elif len(blocks) > first and tag not in ("html", "body", "main", "article"):
                 trees.append((tag, first, len(blocks), within))
         out, inside = (stack[-1][2], stack[-1][3]) if stack else (False, False)
 
@@ -94,22 +126,27 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]], bool]:
     while at < n:
         m = TOKEN.search(page, at)
         if not m:
-            if not out:
-                text.append(page[at:])
+            (lost_text if out else text).append(page[at:])
             break
-        if not out and m.start() > at:
-            text.append(page[at : m.start()])
+        if m.start() > at:
+            (lost_text if out else text).append(page[at : m.start()])
         at = m.end()
         tag = m[2] or m[5]
         if not tag:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            if tag in BLOCKS and not out:
-                flush()
+            if tag in BLOCKS:
+                flush_lost() if out else flush()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    close(i) if tag in BLOCKS else _close_inline(stack, i)
+                    if tag in BLOCKS:
+                        close(i)
+                    else:
+                        flush_lost()
+                        if len(lost) > stack[i][1]:
+                            left.append(_hash([tag, *lost[stack[i][1] :]]))
+                        _close_inline(stack, i)
                     out, inside = (stack[-1][2], stack[-1][3]) if stack else (False, False)
                     break
             continue
@@ -118,15 +155,14 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]], bool]:
             at = end.end() if end else n
             continue
         if tag in VOID:
-            if tag == "br" and not out:
-                text.append(" ")
-            elif tag in BLOCKS and not out:
-                flush()
+            if tag == "br":
+                (lost_text if out else text).append(" ")
+            elif tag in BLOCKS:
+                flush_lost() if out else flush()
             continue
         attributes = m[3] or m[6] or ""
         if tag in BLOCKS:
-            if not out:
-                flush()
+            flush_lost() if out else flush()
             # a paragraph ends where a block begins; list items and cells where the next one does
             for i in range(len(stack) - 1, -1, -1):
                 name = stack[i][0]
@@ -140,7 +176,14 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]], bool]:
         within = inside or tag in ("article", "main")
         gone = out or _out(tag, attributes, inside)
         if tag in BLOCKS or gone:
-            stack.append((tag, len(blocks), gone, within))
+            above = stack[-1][4] if stack else ""
+            place = None
+            if above is not None and not inside:
+                name = _name(tag, attributes)
+                place = above if name is None else f"{above}/{name}" if above.count("/") < LEVELS else None
+                if name is not None and place is not None:
+                    shape.add(place)
+            stack.append((tag, len(lost) if gone else len(blocks), gone, within, place))
             out, inside = gone, within
     close(0)
     article = any(x for _, x in blocks)
@@ -150,8 +193,10 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]], bool]:
     for tag, first, end, within in trees:
         if within == article and first in place:
             i, j = place[first], place[end - 1] + 1
-            found.append((xxhash.xxh64_intdigest("\x00".join([tag, *[b for b, _ in blocks[first:end]]])) - (1 << 63), i, j))
-    return [blocks[i][0] for i in kept], found, article
+            found.append((_hash([tag, *[b for b, _ in blocks[first:end]]]), i, j))
+        else:
+            left.append(_hash([tag, *[b for b, _ in blocks[first:end]]]))
+    return [blocks[i][0] for i in kept], found, article, left, _hash(sorted(shape))
 
 
 def _close_inline(stack: list, i: int) -> None:
@@ -164,19 +209,47 @@ def without(blocks: list[str], spans: list[tuple[int, int]]) -> str:
     return "\n\n".join(b for i, b in enumerate(blocks) if i not in gone)
 
 
-TREES = "key long, host string, content long, article boolean, tree long, first int, last int"
+PAGE = "key long, host string, section string, content long, article boolean, template long, trees array<struct<tree: long, first: int, last: int>>, others array<long>"
 
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tree = pa.struct([("tree", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+    kinds = {"content": pa.int64(), "article": pa.bool_(), "template": pa.int64(), "trees": pa.list_(tree), "others": pa.list_(pa.int64())}
     for batch in batches:
         rows: list[tuple] = []
-        for key, host, page in zip(batch.column("key").to_pylist(), batch.column("host").to_pylist(), batch.column("html"), strict=True):
-            blocks, found, article = parse(page.as_py() or "")
+        for page in batch.column("html"):
+            blocks, found, article, left, template = parse(page.as_py() or "")
             content = xxhash.xxh64_intdigest("\n\n".join(blocks)) - (1 << 63)
-            rows += [(key, host, content, article, *t) for t in found]
-            rows.append((key, host, content, article, None, None, None))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)], names=["key", "host", "content", "article", "tree", "first", "last"])
+            rows.append((content, article, template, [dict(zip(("tree", "first", "last"), t, strict=True)) for t in found], list(set(left))))
+        made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("host"), batch.column("section"), *made], names=["key", "host", "section", *kinds])
+
+
+def _groups() -> Column:
+    """The groups that a page is of: its host, its pages with or without an article, of its section and of its template."""
+    article = F.col("article").cast("string")
+    parts = [F.lit(""), article, F.concat_ws("/", article, "section"), F.concat_ws("/", article, F.col("template").cast("string"))]
+    return F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), p.alias("part")) for i, p in enumerate(parts)])).alias("of")
+
+
+def recurring_trees(scratch: Scratch, pages: DataFrame) -> DataFrame:
+    """(host, kind, part, tree, inside): subtrees that recur in a group of pages; inside: often enough to go from articles.
+
+    One page of each text of a host counts. Trees are counted by the finest
+    groups first; only those of PAGES pages of a host are counted by each group.
+    """
+    cell = ["host", "article", "section", "template"]
+    every = F.array_distinct(F.concat(F.transform("trees", lambda t: t["tree"]), "others")).alias("every")
+    one = pages.select(*cell, "content", "key", every).groupBy("host", "content").agg(F.min_by(F.struct(*cell[1:], "every"), "key").alias("page")).select("host", "page.*")
+    one = scratch.keep(one, "texts")
+    group = ["host", "of.kind", "of.part"]
+    sizes = one.groupBy(*cell).agg(F.count("*").alias("n")).select("host", _groups(), "n").groupBy(*group).agg(F.sum("n").alias("pages"))
+    counted = scratch.keep(one.select(*cell, F.explode("every").alias("tree")).groupBy(*cell, "tree").agg(F.count("*").alias("n")), "counted")
+    often = counted.groupBy("host", "tree").agg(F.sum("n").alias("n")).where(F.col("n") >= min(PAGES, ARTICLE_PAGES)).select("host", "tree")
+    n = counted.join(often, ["host", "tree"], "left_semi").select("host", "tree", _groups(), "n").groupBy(*group, "tree").agg(F.sum("n").alias("n"))
+    inside = (F.col("n") >= ARTICLE_PAGES) & (F.col("n") >= F.col("pages") * ARTICLE_SHARE)
+    outside = (F.col("n") >= PAGES) & (F.col("n") >= F.col("pages") * SHARE)
+    return n.join(sizes, ["host", "kind", "part"]).where(inside | outside).select("host", "kind", "part", "tree", inside.alias("inside"))
 
 
 def _extract(rows: pa.Array) -> list[pa.Array]:
@@ -197,14 +270,13 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """
     scratch = Scratch(spark, "pages")
     host = F.coalesce(F.lower(F.regexp_extract(col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
+    section = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]+)/", 1), F.lit(""))
     keyed = pages.select(col("page_id").alias("page_id"), col("url").alias("url"), col("html").alias("html"), host.alias("host")).withColumn("key", F.xxhash64("page_id", "url", "html"))
-    trees = scratch.keep(keyed.select("key", "host", "html").mapInArrow(_trees, TREES), "trees")
-    sites = trees.select("host", "article", "content").distinct().groupBy("host", "article").agg(F.count("*").alias("pages"))
-    counted = trees.where("tree is not null").select("host", "article", "tree", "content").distinct().groupBy("host", "article", "tree").agg(F.count("*").alias("n"))
-    counted = counted.where(F.col("n") >= F.when(F.col("article"), ARTICLE_PAGES).otherwise(PAGES))
-    often = F.col("n") >= F.col("pages") * F.when(F.col("article"), ARTICLE_SHARE).otherwise(SHARE)
-    recurring = scratch.keep(counted.join(sites, ["host", "article"]).where(often).select("host", "article", "tree"), "recurring")
-    hits = trees.join(recurring, ["host", "article", "tree"], "left_semi")
+    read = scratch.keep(keyed.select("key", "host", section.alias("section"), "html").mapInArrow(_pages, PAGE), "pages")
+    recurring = scratch.keep(recurring_trees(scratch, read), "recurring")
+    trees = read.select("key", "host", "article", "section", "template", F.explode("trees").alias("t")).select("*", "t.*").drop("t")
+    trees = trees.join(recurring.select("host", "tree").distinct(), ["host", "tree"], "left_semi")
+    hits = trees.select("key", "host", "article", "tree", "first", "last", _groups()).select("*", "of.*").join(recurring, ["host", "kind", "part", "tree"]).where("inside or not article")
     gone = scratch.keep(hits.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("gone")), "gone")
     joined = keyed.join(small(gone), "key", "left").select("page_id", "url", F.struct("html", "gone").alias("row"))
     fields = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

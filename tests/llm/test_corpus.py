@@ -296,6 +296,27 @@ def test_pages(spark):
     assert pages.extract(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_by_section_and_template(spark):
+    own = lambda i: f"<p>Words {i} of its own.</p>"
+    rows = []
+    for i in range(100):  # five templates of 20 % each, by path on one host and by their containers on the other
+        box = f"<div><span>Box {i % 5}</span><br>here</div>"
+        rows.append((i, f"https://s.example/part{i % 5}/{i}", f"<div>{own(i)}{box}</div>"))
+        rows.append((100 + i, f"https://t.example/{i}", f"<div class='kind{'abcde'[i % 5]} x{i}'>{own(i)}</div>{box}"))
+    for i in range(100):  # a block inside an article on 60 % of a host's pages, all those of a section
+        rows.append((200 + i, f"https://u.example/{'news' if i < 60 else 'blog'}/{i}", f"<article>{own(i)}{'<p>We mail you.</p>' if i < 60 else ''}</article>"))
+    for i in range(20):  # a block that a class marks on most pages only
+        rows.append((300 + i, f"https://v.example/{i}", f"<div>{own(i)}</div><div{' class=sidebar' if i > 1 else ''}>About us</div>"))
+    for i in range(40):  # copies of a text in many sections count once, quotations on half the pages stay
+        rows.append((400 + i, f"https://w.example/s{i}/x", "<article><p>One text.</p></article>"))
+        rows.append((500 + i, f"https://x.example/{i}", f"<article>{own(i)}{'<p>Quoted.</p>' if i % 2 else ''}</article>"))
+    out = {r.page_id: r.text for r in pages.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [out[i] for i in range(100)] == [out[100 + i] for i in range(100)] == [out[200 + i] for i in range(100)] == [f"Words {i} of its own." for i in range(100)]
+    assert [out[300 + i] for i in range(20)] == [f"Words {i} of its own." for i in range(20)]
+    assert {out[400 + i] for i in range(40)} == {"One text."}
+    assert [out[500 + i] for i in range(40)] == [f"Words {i} of its own." + "\n\nQuoted." * (i % 2) for i in range(40)]
+
+
 def test_neighbours(spark, monkeypatch):
     import numpy as np
 
