@@ -43,7 +43,7 @@ from nodeloom.llm.store import Scratch
 K = 5
 #: Similarity in hundredths.
 LEAST = 80
-#: Seeds of the orders: the first deals the tokens, the others must agree before a pair's sets are read.
+#: Seeds of the orders: the first deals the tokens, the others must agree before a pair of the rest is counted.
 ORDERS = (0, 0x51ED27, 0x7F4A91)
 #: Prefix tokens that a pair must share (c); fewer where a set is smaller.
 SHARED = 4
