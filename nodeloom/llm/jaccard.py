@@ -262,10 +262,10 @@ class _Links:
         self.texts, self.classes, self.counts, self.scratch, self.k, self.least = texts, classes, counts, scratch, k, least
 
     def sets(self, names: DataFrame, what: str) -> DataFrame:
-        """(n, fp, tokens) of the named classes, read from one document of each."""
+        """(n, fp, tokens) of the named classes, read from one row of each, found by a hash of doc_id and text."""
         wanted = self.scratch.keep(self.classes.join(names, "fp", "left_semi"), f"{what}-wanted")
         held = small(wanted)
-        chosen = self.texts.join(held.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+        chosen = self.texts.join(held.select("key"), "key", "left_semi")
         sets = with_kernel(chosen, _whole(self.k), SETS, "s", "t", []).select("s.*").join(held.select("fp", "n"), ["fp", "n"], "left_semi")
         sets = self.scratch.keep(sets.dropDuplicates(["fp"]), f"{what}-sets")
         self.scratch.drop(wanted)
@@ -300,16 +300,16 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, k: int = K, least: int
 
     Null and empty texts have an empty set and their own doc_id as component.
     Repeated rows are one class. Rows of one doc_id with several texts are one
-    document in links. A null doc_id never names a component: a class without
+    document: what is linked with one text is linked with all. A null doc_id never names a component: a class without
     any other doc_id gets a null component unless it is linked. Extra columns
     are ignored. Sets are equal when size and 64-bit fingerprint are.
     """
     scratch = Scratch(spark, "jaccard")
-    texts = docs.select(col("doc_id").alias("doc_id"), col(text).alias("t"))
+    texts = docs.select(col("doc_id").alias("doc_id"), col(text).alias("t")).withColumn("key", F.xxhash64("doc_id", "t"))
     counts = token_counts(texts, k)
-    made = scratch.keep(with_kernel(texts, _prefixes(k, counts, least), SETS, "s", "t", ["doc_id"]).select("doc_id", "s.*"), "prefixes")
+    made = scratch.keep(with_kernel(texts, _prefixes(k, counts, least), SETS, "s", "t", ["doc_id", "key"]).select("doc_id", "key", "s.*"), "prefixes")
     rows = made.select("doc_id", "n", "fp")
-    classes = scratch.keep(rows.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = scratch.keep(made.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key")), "classes")
     links_of = _Links(texts, classes, counts, scratch, k, least)
 
     # postings: one row for a class, token and task; tokens that only one class has go
@@ -346,7 +346,10 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, k: int = K, least: int
     near &= (F.col("two.own") != F.col("two.band")) | (F.col("one.fp") < F.col("two.fp"))  # within a band each pair once
     rest = one.join(two, (F.col("one.token") == F.col("two.token")) & (F.col("one.band") == F.col("two.band")) & near).groupBy(F.col("one.fp").alias("a"), F.col("two.fp").alias("b"), F.least("one.n", "two.n").alias("n")).count()
     rest = links_of.of(rest.where(F.col("count") >= need(F.col("n"))).select("a", "b"), "rest", None)
-    roots = link_components(spark, strong.union(tiled).union(rest.select("a", "b")), scratch).withColumnRenamed("node", "fp")
+    owned = rows.where("n > 0 and doc_id is not null")
+    several = owned.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z")
+    same = owned.join(several, "doc_id").where("fp <> a").select("a", F.col("fp").alias("b"))
+    roots = link_components(spark, strong.union(tiled).union(rest.select("a", "b")).union(same), scratch).withColumnRenamed("node", "fp")
 
     # rep ids of classes name the components
     named = classes.join(roots, "fp", "left").select("fp", "n", "rep", F.coalesce("root", "fp").alias("root"))

@@ -79,6 +79,20 @@ def test_jaccard(spark, docs, empty, texts):
     assert jaccard.jaccard_groups(spark, empty).count() == 0
 
 
+def test_jaccard_of_rows_without_id_and_of_ids_with_two_texts(spark):
+    words = [f"w{i}" for i in range(100)]
+    text = lambda lo, hi: " ".join([*(f"b{i}" for i in range(lo)), *words[lo:hi], *(f"e{i}" for i in range(hi, 100))])
+    # x and z are too different, a row without doc_id is near to both; 9 has two texts, of which one is near to 5
+    x, bridge, z = text(0, 100), text(9, 100), text(9, 91)
+    sets = [shingles(t) for t in (x, bridge, z)]
+    like = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    assert like(sets[0], sets[1]) and like(sets[1], sets[2]) and not like(sets[0], sets[2])
+    far = [" ".join(f"{c}{i}" for i in range(100)) for c in "pqr"]
+    rows = [(3, x), (None, bridge), (4, z), (5, far[0]), (9, far[0] + " end"), (9, far[1]), (11, far[1] + " end"), (None, far[2]), (None, far[2] + " end")]
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in jaccard.jaccard_groups(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("3", "3"), ("None", "3"), ("4", "3"), ("5", "5"), ("9", "5"), ("9", "5"), ("11", "5"), ("None", "None"), ("None", "None")])
+
+
 def test_jaccard_by_every_path(spark, docs, texts, monkeypatch):
     """The same groups with tiles of three sets and with components from distributed rounds."""
     want = sorted((str(r.doc_id), str(r.component_id)) for r in jaccard.jaccard_groups(spark, docs).collect())
