@@ -32,7 +32,12 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 GITHUB = re.compile(rb"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 NPM = re.compile(rb"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
-PEM = re.compile(rb"-----BEGIN ([A-Z ]*PRIVATE KEY)-----[^-]*-----END \1-----")
+#: From a BEGIN mark to the first fitting END mark, with no other BEGIN mark between.
+PEM = re.compile(rb"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:[^-]|-(?!----BEGIN ))*?)-----END \1-----")
+#: What quotes a line of a key in code or mail.
+PEM_QUOTES = re.compile(rb"""["'][\s"',;.)+\\]*$|^[\s"'>#*|]+|[\s\\]+$""")
+#: A header of a key (RFC 1421 and its like) with what follows it up to an empty line, or else the one line.
+PEM_HEADER = re.compile(rb"[A-Za-z][A-Za-z0-9-]*:(?:.*?\n\n|[^\n]*(?:\n|\Z))", re.DOTALL)
 #: Keywords (lower case) and the kind that each leads to.
 KEYWORDS = {"password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign", "akia": "access", "ghp_": "github", "gho_": "github", "ghu_": "github", "ghs_": "github", "ghr_": "github", "npm_": "npm", "eyj": "jwt", "-----begin": "pem"}
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -60,6 +65,30 @@ def _jwt_fits(m: re.Match) -> bool:
     return all(isinstance(p, dict) for p in parts) and "alg" in parts[0]
 
 
+def _pem_fits(m: re.Match) -> bool:
+    """The body, after any headers, decodes to the bytes that its kind begins with: a DER sequence of just this length,
+    or OpenSSH's mark; ciphertext of a whole key (DEK-Info) only has to be whole base64. Lines may be quoted."""
+    lines = m[2].replace(b"\\r", b"").replace(b"\\n", b"\n").splitlines()
+    body, headers = b"\n".join(PEM_QUOTES.sub(b"", x) for x in lines).lstrip(), b""
+    while h := PEM_HEADER.match(body):
+        headers += h[0]
+        body = body[h.end() :]
+    try:
+        key = base64.b64decode(b"".join(body.split()), validate=True)
+    except (ValueError, binascii.Error):
+        return False
+    if not key or b"dek-info:" in headers.lower():
+        return bool(key)
+    if m[1].startswith(b"OPENSSH"):
+        return key.startswith(b"openssh-key-v1\0")
+    if len(key) < 2 or key[0] != 0x30:
+        return False
+    if key[1] < 0x80:
+        return len(key) == 2 + key[1]
+    n = key[1] & 0x7F
+    return 0 < n <= 4 and len(key) == 2 + n + int.from_bytes(key[2 : 2 + n], "big")
+
+
 #: Of a kind: its expression, and whether a match counts.
 RULES = {
     "assign": (ASSIGN, lambda m: len(m[2]) >= 6),
@@ -67,7 +96,7 @@ RULES = {
     "github": (GITHUB, _crc_fits),
     "npm": (NPM, _crc_fits),
     "jwt": (JWT, _jwt_fits),
-    "pem": (PEM, lambda m: True),
+    "pem": (PEM, _pem_fits),
 }
 
 _AUTOMATON = []

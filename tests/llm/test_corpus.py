@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import re
@@ -190,6 +191,23 @@ def test_secrets(spark, docs, empty):
     assert secrets.scan(empty).count() == 0 and secrets.scan(docs).count() == docs.count()
 
 
+def test_pem_keys(spark):
+    der = b"\x30\x82\x01\x00" + bytes(range(256))
+    lines = lambda b: "\n".join(re.findall(".{1,64}", base64.b64encode(b).decode()))
+    pem = lambda body, kind="RSA ": f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
+    legacy = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011AABB\n\n"
+    quoted = '"' + pem(lines(der)).replace("\n", '\\n" +\n  "') + '";'
+    keys = [pem(lines(der)), pem(legacy + lines(bytes(64))), pem(legacy.replace("\n\n", "\nKey-Info: abc,\n  def\n\n") + lines(bytes(64))), pem(lines(b"\x30\x03abc"), ""), pem(lines(b"openssh-key-v1\0rest"), "OPENSSH "), quoted, pem(lines(der)).replace("\n", "\\n"), pem(lines(der)).replace("\n", "\r\n")]
+    no_keys = [pem("not base64 at all!"), pem(lines(der + b"x")), pem(lines(b"\x31" + der[1:])), pem(""), pem(legacy), pem(lines(der)).replace("END RSA", "END EC")]
+    for t in keys:
+        assert [k for _, _, k in secrets.spans(t.encode())] == ["pem"], t
+    for t in no_keys:
+        assert "pem" not in [k for _, _, k in secrets.spans(t.encode())], t
+    cut = "-----BEGIN RSA PRIVATE KEY-----\nMII\n"  # its end is lost, the next key counts
+    df = spark.createDataFrame([(1, f"a {cut}{keys[1]} b {keys[0]} c")], "doc_id long, text string")
+    assert secrets.scan(df).first().secrets.redacted == f"a {cut}[pem removed] b [pem removed] c"
+
+
 def test_mixing(spark, docs, empty, texts):
     sized = mixing.with_size(docs, "size")
     rows = mixing.mix(sized, "size", ["doc_id", "text"]).collect()
