@@ -28,10 +28,6 @@ def col(name: str) -> Column:
 SMALL_ROWS = 500_000
 
 
-#: Links (16 bytes each) that one task joins into components by itself; more go through distributed rounds.
-ONE_TASK = 500_000
-
-
 def small(table: DataFrame) -> DataFrame:
     """A stored table of a few numeric columns, to be broadcast if its counted rows allow it."""
     return F.broadcast(table) if table.count() <= SMALL_ROWS else table
@@ -62,32 +58,40 @@ def with_kernel(df: DataFrame, kernel: Callable[[pa.Array], list[pa.Array]], fie
     return src.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("r").alias(into))
 
 
-def running(df: DataFrame, group: list[str], value: str, order: list[str], into: str) -> DataFrame:
+def running(df: DataFrame, group: list[str], value: str, order: list[str], into: str, part: Column | None = None) -> DataFrame:
     """Adds the sum of value over the rows before this one in its group, by a hash of the order columns.
 
     No task sees a whole group: a group falls into PARTS parts by hash, whose
-    sums are added up per group first. Rows alike in all order columns and
-    value are interchangeable. Group columns must not be null.
+    sums are added up per group first. With part, a whole number that rises with
+    the order columns, rows go by these themselves. Rows alike in all order
+    columns and value are interchangeable. Group columns must not be null.
     """
-    h, part, before = free(df, "h"), free(df, "part"), free(df, "before")
-    hashed = df.withColumn(h, F.xxhash64(*[col(c) for c in order])).withColumn(part, F.pmod(F.col(h), F.lit(PARTS)).cast("int"))
-    keys = [*group, part]
+    h, at, before = free(df, "h"), free(df, "part"), free(df, "before")
+    hashed = df.withColumn(h, F.xxhash64(*[col(c) for c in order])) if part is None else df.withColumn(h, F.lit(0))
+    hashed = hashed.withColumn(at, F.pmod(F.col(h), F.lit(PARTS)).cast("int") if part is None else part)
+    keys = [*group, at]
     sums = hashed.groupBy(*keys).agg(F.sum(col(value)).alias(before))
-    by = Window.partitionBy(*group).orderBy(part)
+    by = Window.partitionBy(*group).orderBy(at)
     offsets = sums.withColumn(before, F.sum(before).over(by) - F.col(before))
     inside = Window.partitionBy(*keys).orderBy(h, *[col(c) for c in order], col(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = F.sum(col(value)).over(inside) - col(value)
-    return hashed.join(offsets, keys).withColumn(into, own + F.col(before)).drop(h, part, before)
+    return hashed.join(offsets, keys).withColumn(into, own + F.col(before)).drop(h, at, before)
+
+
+#: Links (16 bytes each) that a task joins.
+LINKS_AT_ONCE = 1 << 20
 
 
 def _join_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of a task's links with the least one that it reaches over them."""
     parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
     if not parts:
         return
     a, b = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     root = least_reached(len(nodes), at[: len(a)], at[len(a) :])
-    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
+    apart = root != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[apart]), pa.array(nodes[root[apart]])], names=["a", "b"])
 
 
 def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -108,31 +112,30 @@ def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def link_components(spark: SparkSession, edges: DataFrame, scratch) -> DataFrame:
     """(node, root): the least node reachable over edges (a, b), for every node that has one.
 
-    Up to ONE_TASK counted links are joined in one task. Beyond, alternating
-    large-star and small-star rounds; every round is written to the shared
-    folder. Hot nodes only meet in minima (combined before the shuffle) and in
-    joins that adaptive execution can split.
+    Tasks of about LINKS_AT_ONCE links join what they hold; where that takes
+    several tasks, large-star and small-star rounds alternate with it until
+    every link leads to a node that is the least of its neighbours and of
+    theirs. Every round is written to the shared folder. Hot nodes only meet in
+    minima (combined before the shuffle) and in joins that adaptive execution
+    can split.
     """
 
     def tidy(pairs: DataFrame) -> DataFrame:
-        return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        return scratch.keep(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
 
-    now = scratch.keep(tidy(edges.select("a", "b")), "edges")
-    if now.count() <= ONE_TASK:
-        return scratch.keep(now.coalesce(1).mapInArrow(_join_links, "node long, root long"), "components")
-    seen = None
+    now = tidy(edges.select("a", "b"))
     while True:
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if seen == state:
+        tasks = -(-now.count() // LINKS_AT_ONCE) or 1
+        now = scratch.keep(now.coalesce(tasks).mapInArrow(_join_links, "a long, b long"), "joined")
+        if tasks == 1:
             break
-        seen = state
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = tidy(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        mid = scratch.keep(large, "large")
-        least = mid.groupBy("a").agg(F.min("b").alias("m"))
-        small = mid.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        after = scratch.keep(tidy(small), "small")
-        scratch.drop(now, mid)
-        now = after
+        least = scratch.keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        if not now.join(least.withColumnRenamed("a", "b"), "b").where("m <> b").take(1) and not now.join(least, "a").where("m <> b").take(1):
+            break
+        mid = tidy(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        low = scratch.keep(mid.groupBy("a").agg(F.min("b").alias("m")), "low")
+        star = tidy(mid.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b"))
+        scratch.drop(now, least, mid, low)
+        now = star
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
