@@ -1,16 +1,16 @@
 """Operator 5, toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is a bag of character n-grams (bytes of the lower-cased word with
-boundary marks); its vector is the mean of their hashed embeddings, and a
-softmax layer over it gives the word's logit. A document's logit is that of its
-most toxic word, so one word counts in a text of any length. Misspellings and
+boundary marks); its vector is the mean of their hashed embeddings. A document's
+vector is the mean over its distinct words and NEUTRAL words of vector zero, so
+that no single word of a short text outweighs the rest; a softmax layer over it
+gives the score. Embeddings and softmax learn together. Misspellings and
 inflections that training never saw share n-grams with words that it saw.
 
 The classifier is fitted on a bounded sample of labelled rows: FIT_ROWS of each
-label by a hash of doc_id, whatever the length of their texts. Training asks
-only which words a text has, so Spark sends the driver each sampled text's
-distinct words; driver memory goes with these, not with the texts. Every whole
-text is scored.
+label by a hash of doc_id, whatever the length of their texts, one row of each
+doc_id. Spark sends the driver each sampled text's distinct words; driver memory
+goes with these, not with the texts. Every whole text is scored.
 """
 
 from __future__ import annotations
@@ -30,10 +30,13 @@ BLOCK_WORDS = 1 << 15
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 18
 DIM = 8
-EPOCHS = 25
-RATE = 0.5
-#: Documents of prior evidence that an n-gram starts from.
-PRIOR = 3.0
+EPOCHS = 100
+#: Words of vector zero that every document has beside its own.
+NEUTRAL = 50
+#: The embedding of an n-gram learns by its frequency to the power of this (less than 0: rare ones learn faster).
+EVEN = -0.5
+#: Step of the softmax layer.
+LAYER_RATE = 0.1
 
 
 def vocabulary(c: W.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,99 +68,106 @@ def subwords(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return bucket[order], owner[order]
 
 
-def distinct(texts: pa.Array) -> list[pa.Array]:
+BAG = T.StructType([T.StructField("words", T.BinaryType())])
+
+
+def bags(texts: pa.Array) -> list[pa.Array]:
     """The distinct lower-cased words of each text, with spaces between."""
     out = []
     for c in W.chunks(texts, W.NON_ALNUM, lower=True):
-        h, doc, data = c.hashes(), c.doc, c.b.tobytes()
-        order = np.lexsort((h, doc))
-        new = np.ones(len(order), bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-        kept = np.sort(order[new])
-        edge = np.searchsorted(kept, c.edge)
+        first, data = first_places(c), c.b.tobytes()
+        edge = np.searchsorted(first, c.edge)
         for i in range(c.n):
-            own = kept[edge[i] : edge[i + 1]]
+            own = first[edge[i] : edge[i + 1]]
             out.append(b" ".join([data[a:z] for a, z in zip(c.starts[own].tolist(), c.ends[own].tolist(), strict=True)]))
     return [pa.array(out, pa.binary())]
 
 
-def train(texts: pa.Array | pa.ChunkedArray, y: np.ndarray, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Scores by bucket (embedding times the difference of the softmax rows) and the bias."""
-    if not len(texts) or y.min() == y.max():
-        return np.zeros(BUCKETS, np.float32), float(20 * (y.mean() - 0.5)) if len(texts) else -10.0
-    c = next(W.chunks(texts, W.NON_ALNUM, lower=True, limit=1 << 40))
-    starts, ends, number = vocabulary(c)
-    blocks = range(0, len(starts), BLOCK_WORDS)
-    bucket, width = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-    for i in blocks:
-        some, owner = subwords(c.b, starts[i : i + BLOCK_WORDS], ends[i : i + BLOCK_WORDS])
+def first_places(c: W.Chunk) -> np.ndarray:
+    """One place of each distinct word of each document, ascending."""
+    h, doc = c.hashes(), c.doc
+    order = np.lexsort((h, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    return np.sort(order[new])
+
+
+def constant(y: np.ndarray) -> tuple[np.ndarray, float]:
+    """What is known without both labels."""
+    return np.zeros(BUCKETS, np.float32), float(20 * (y.mean() - 0.5)) if len(y) else -10.0
+
+
+def train(words: pa.Array | pa.ChunkedArray, y: np.ndarray, seed: int = 5) -> tuple[np.ndarray, float]:
+    """Scores by bucket (embedding times the difference of the softmax rows) and the bias, from bags of words.
+
+    Gradient descent with Nesterov's momentum over all documents, which weigh as
+    much by label. The step follows from the largest eigenvalue of the problem's
+    curvature, so it needs no tuning to the data.
+    """
+    if not len(y) or y.min() == y.max():
+        return constant(y)
+    c = next(W.chunks(words, W.NON_ALNUM, lower=True, limit=1 << 40))
+    starts, ends, word = vocabulary(c)
+    blocks = [slice(i, min(i + BLOCK_WORDS, len(starts))) for i in range(0, len(starts), BLOCK_WORDS)]
+    bucket, width = [], []
+    for at in blocks:
+        some, owner = subwords(c.b, starts[at], ends[at])
         bucket.append(some)
-        width.append(np.bincount(owner, minlength=len(starts[i : i + BLOCK_WORDS])))
-    bucket, n_words = np.concatenate(bucket), np.concatenate(width)
-    edge = np.concatenate([[0], np.cumsum(n_words)])
-    # distinct words of each document
-    pair = np.unique(c.doc * len(starts) + number)
-    del c, number
-    n_texts = np.bincount(pair // max(1, len(starts)), minlength=len(texts))
-    word = (pair % max(1, len(starts))).astype(np.int32)
-    del pair
-    full = np.flatnonzero(n_texts)
-    held = n_texts[full]
-    first = np.cumsum(held) - held
-    if not len(full):
-        return np.zeros(BUCKETS, np.float32), float(20 * (y.mean() - 0.5))
-    y = y[full].astype(np.float64)
-    # first dimension: smoothed log odds of documents with the n-gram
-    share = y.mean()
-    if share in (0, 1):
-        return np.zeros(BUCKETS, np.float32), float(20 * (share - 0.5))
-    toxic, all_ = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for i, (low, high) in enumerate(zip(first, first + held, strict=True)):
-        own = word[low:high]
-        has = np.unique(bucket[np.repeat(edge[own], n_words[own]) + _within(n_words[own])])
-        all_[has] += 1
-        toxic[has] += y[i]
-    q = (toxic + PRIOR * share) / (all_ + PRIOR)
+        width.append(np.bincount(owner, minlength=at.stop - at.start))
+    doc, n, full = c.doc.astype(np.int32), c.n, c.counts > 0
+    share, word = 1 / (c.counts + NEUTRAL), word.astype(np.int32)
+    del c
+    if not full.any() or y[full].min() == y[full].max():
+        return constant(y[full])
+    y, weight = y.astype(np.float64), full * np.where(y == 1, 0.5 / y[full].mean(), 0.5 / (1 - y[full].mean()))
+    weight /= weight.sum()
+
+    def forward(s: np.ndarray) -> np.ndarray:
+        """The mean of s over the words of each document."""
+        own = np.concatenate([_means(s, some, n_) for some, n_ in zip(bucket, width, strict=True)])
+        return np.bincount(doc, weights=own[word], minlength=n) * share
+
+    def backward(e: np.ndarray) -> np.ndarray:
+        """What an error of each document asks of each bucket."""
+        own, out = np.bincount(word, weights=(e * share)[doc], minlength=len(starts)), np.zeros(BUCKETS)
+        for at, some, n_ in zip(blocks, bucket, width, strict=True):
+            out += np.bincount(some, weights=np.repeat(own[at] / n_, n_), minlength=BUCKETS)
+        return out
+
     rng = np.random.default_rng(seed)
-    E = rng.normal(0, 0.01, (BUCKETS, DIM)).astype(np.float32)
-    E[:, 0] = np.log(q / (1 - q)) - np.log(share / (1 - share))
-    V = np.zeros((2, DIM))
-    V[1, 0] = 1.0
-    bias, gE, gV, gb = np.array([0.0, -1.0]), np.full(BUCKETS, 1e-3), np.full((2, DIM), 1e-3), np.full(2, 1e-3)
-    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
-    for _ in range(EPOCHS):
-        s = E @ (V[1] - V[0])
-        logits = np.concatenate([_sums(s, bucket[edge[i] : edge[min(i + BLOCK_WORDS, len(starts))]], n_words[i : i + BLOCK_WORDS]) for i in blocks]) / np.maximum(n_words, 1)
-        own = logits[word]
-        top = np.maximum.reduceat(own, first)
-        best = np.flatnonzero(own == np.repeat(top, held))
-        pick = word[best[np.searchsorted(best, first)]]
-        p = 1 / (1 + np.exp(-(top + bias[1] - bias[0])))
-        err = weight * (p - y)
-        n = n_words[pick]
-        rows = bucket[np.repeat(edge[pick], n) + _within(n)]
-        means = np.stack([np.bincount(np.repeat(np.arange(len(pick)), n), weights=E[rows, d], minlength=len(pick)) for d in range(DIM)], 1) / np.maximum(n, 1)[:, None]
-        dV = np.outer([-1.0, 1.0], (err[:, None] * means).sum(0)) / len(y)
-        db = np.array([-1.0, 1.0]) * err.mean()
-        pull = np.bincount(rows, weights=np.repeat(err / np.maximum(n, 1), n), minlength=BUCKETS)
-        on = np.flatnonzero(pull)
-        gE[on] += pull[on] ** 2
-        E[on] -= RATE * (pull[on] / np.sqrt(gE[on]))[:, None] * (V[1] - V[0])[None, :]
-        gV += dV**2
-        V -= RATE * 0.1 * dV / np.sqrt(gV)
-        gb += db**2
-        bias -= RATE * db / np.sqrt(gb)
-    return (E @ (V[1] - V[0])).astype(np.float32), float(bias[1] - bias[0])
-
-
-def _sums(s: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The sum of s over the n-grams of each of some words, which have n of them."""
-    return np.bincount(np.repeat(np.arange(len(n)), n), weights=s[bucket], minlength=len(n))
-
-
-def _within(n: np.ndarray) -> np.ndarray:
-    """0..n[0] - 1, 0..n[1] - 1, ..."""
-    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    often = backward(np.full(n, 1 / n))
+    even = np.where(often > 0, np.maximum(often, 1e-12), 1) ** EVEN
+    x = rng.normal(size=BUCKETS) * (often > 0)
+    for _ in range(8):  # the largest eigenvalue, by powers
+        z = forward(np.sqrt(even) * x / np.linalg.norm(x))
+        x = np.sqrt(even) * backward(weight * (z - (weight * z).sum()))
+    step = (even * 4 / np.linalg.norm(x))[:, None]
+    E, V = np.zeros((BUCKETS, DIM)), rng.normal(size=(2, DIM))
+    V = np.stack([-V[0], V[0]]) / 2 / np.linalg.norm(V[0])
+    bias, E_before, bias_before = 0.0, E, 0.0
+    for k in range(EPOCHS):
+        v = V[1] - V[0]
+        z = forward(E @ v)
+        z -= (weight * z).sum()  # so that the bias learns apart from the rest
+        err = weight * (_logistic(z + bias) - y)
+        pull = backward(err - weight * err.sum())
+        dv = pull @ E
+        E_now, bias_now = E - step * pull[:, None] * (v / (v @ v))[None, :], bias - 4 * err.sum()
+        V = V - LAYER_RATE / max(1.0, (weight * z * z).sum()) * np.stack([-dv, dv])
+        rush = k / (k + 3)
+        E, bias = E_now + rush * (E_now - E_before), bias_now + rush * (bias_now - bias_before)
+        E_before, bias_before = E_now, bias_now
+    s = E @ (V[1] - V[0])
+    return s.astype(np.float32), float(bias - (weight * forward(s)).sum())
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
+def _means(s: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The mean of s over the n-grams of each of some words, which have n of them."""
+    return np.add.reduceat(s[bucket], np.cumsum(n) - n) / n if len(n) else np.zeros(0)
 
 
 FIELDS = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
@@ -167,15 +177,15 @@ def kernel(scores: np.ndarray, bias: float):
     def run(texts: pa.Array) -> list[pa.Array]:
         out = []
         for c in W.chunks(texts, W.NON_ALNUM, lower=True):
-            top = np.zeros(c.n)
+            mean = np.zeros(c.n)
             if len(c.starts):
                 starts, ends, number = vocabulary(c)
                 bucket, owner = subwords(c.b, starts, ends)
-                width = np.bincount(owner, minlength=len(starts))
-                logits = (np.bincount(owner, weights=scores[bucket], minlength=len(starts)) / np.maximum(width, 1))[number]
-                full = np.flatnonzero(c.counts)
-                top[full] = np.maximum.reduceat(logits, c.edge[full])
-            out.append(1 / (1 + np.exp(-(np.where(c.counts > 0, top, np.minimum(0, top)) + bias))))
+                logits = _means(scores, bucket, np.bincount(owner, minlength=len(starts)))
+                one = first_places(c)
+                doc = c.doc[one]
+                mean = np.bincount(doc, weights=logits[number[one]], minlength=c.n) / (np.bincount(doc, minlength=c.n) + NEUTRAL)
+            out.append(_logistic(mean + np.where(c.counts > 0, bias, min(bias, 0.0))))
         p = np.concatenate(out) if out else np.zeros(0)
         return [pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
 
@@ -191,20 +201,24 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: dict[int,
         some = labels.where((F.col("toxic") == y) & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         ids += [(r[0], y) for r in some.collect()]  # at most FIT_ROWS
     if not ids:
-        return train(pa.array([], pa.binary()), np.zeros(0))
+        return constant(np.zeros(0, np.int64))
     wanted = spark.createDataFrame(ids, "doc_id long, toxic int")
     texts = docs.select(col("doc_id").alias("doc_id"), col(text).alias("t")).where("t is not null")
-    bags = with_kernel(texts.join(F.broadcast(wanted), "doc_id"), distinct, T.StructType([T.StructField("words", T.BinaryType())]), "bag", "t", ["doc_id", "toxic"])
-    got = bags.orderBy("doc_id", "bag.words").select("bag.words", "toxic").toArrow()  # distinct words of FIT_ROWS texts
+    found = with_kernel(texts.join(F.broadcast(wanted), "doc_id"), bags, BAG, "bag", "t", ["doc_id", "toxic"])
+    one = found.groupBy("doc_id", "toxic").agg(F.min_by("bag", F.xxhash64("bag.words")).alias("bag"))  # of repeated rows one
+    got = one.orderBy("doc_id", "toxic").select("bag.*", "toxic").toArrow()  # distinct words of FIT_ROWS texts
     return train(got.column("words"), got.column("toxic").to_numpy())
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, into: str = "toxicity", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds a struct (score, predicted) to every row.
 
-    Null and empty texts, and texts without words, score as an unremarkable
-    word does. Labels that name no row, null labels and repeated rows are
-    harmless. Without labels of both kinds the score is a constant.
+    Null and empty texts, and texts without words, score as the bias says, 0.5 at
+    most. Long texts are scored whole, by the mean of all their words. Labels that
+    name no row, null labels and repeated rows are harmless; of a doc_id with two
+    labels both count. Without labels of both kinds the score is a constant. Empty
+    docs give an empty result, other columns pass through, and one called like
+    `into` makes the struct take trailing underscores.
     """
     scores, bias = fit(docs, labels, text)
     return with_kernel(docs, kernel(scores, bias), FIELDS, free(docs, into), text, keep)
