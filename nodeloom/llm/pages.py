@@ -36,13 +36,15 @@ ARTICLE_SHARE, ARTICLE_PAGES = 0.7, 20
 
 #: Comments, declarations, and tags with well-formed or else any attributes.
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
-RAW = {n: re.compile(rf"</{n}\b[^>]*>", re.IGNORECASE) for n in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "object", "canvas")}
+#: Elements whose content is no markup; without an end tag the first two take the rest of the page, the others nothing.
+RAW = {n: re.compile(rf"</{n}\b[^>]*>", re.IGNORECASE) for n in ("script", "style", "textarea", "title", "iframe")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("nav footer aside form head menu dialog button label search".split())
+DROPPED = frozenset("nav footer aside form head menu dialog button label search noscript template svg select object canvas".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-#: Words of class and id names that mark what is no main text.
+#: Words of class and id names that mark what is no main text; words that such names may hold beside them.
 MARKS = frozenset("ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer gdpr login menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar widget".split())
+BESIDE = frozenset("area articles bar block bottom box button buttons col column container content footer global group header heading icon icons inline inner item items left link links list main module my outer page panel posts primary right row secondary section site stories text the title top wrap wrapper".split())
 COMMENTS = frozenset("comment comments reply replies disqus respond".split())
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 WORD = re.compile(r"[a-z0-9]+")
@@ -65,14 +67,22 @@ def _out(tag: str, attributes: str, in_article: bool) -> bool:
         if name == "role" and value.strip() in ROLES:
             return tag not in ("html", "body", "main", "article")
         if name in ("class", "id"):
-            words = set(WORD.findall(value))
             if tag in ("html", "body", "main"):
                 continue
-            if words & (COMMENTS if tag == "article" else MARKS) or "header" in words and not in_article and tag != "article":
+            if _marked(value, COMMENTS if tag == "article" else MARKS if in_article or tag == "article" else MARKS | {"header"}):
                 return True
     return False
 
 
+def _marked(names: str, marks: frozenset) -> bool:
+    """Whether one of these names is a mark, all its words being marks or such as stand beside them: not share-price."""
+    for name in names.split():
+        words = {w for w in WORD.findall(name) if not w.isdigit()}
+        if words & marks and words <= marks | BESIDE:
+            return True
+    return False
+
+
 def _name(tag: str, attributes: str) -> str | None:
     """A container's tag with the words of its class and id, without numbers."""
     words = {w for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id") for w in NAMES.findall((m[2] or m[3] or m[4] or "").lower())}
@@ -150,9 +160,12 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]], bool, list[
                     out, inside = (stack[-1][2], stack[-1][3]) if stack else (False, False)
                     break
             continue
+        attributes = m[3] or m[6] or ""
         if tag in RAW:
-            end = RAW[tag].search(page, at)
-            at = end.end() if end else n
+            end = None if attributes.endswith("/") and tag not in ("script", "style") else RAW[tag].search(page, at)
+            at = end.end() if end else n if tag in ("script", "style") else at
+            continue
+        if attributes.endswith("/") and tag in DROPPED:
             continue
         if tag in VOID:
             if tag == "br":
@@ -160,18 +173,17 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]], bool, list[
             elif tag in BLOCKS:
                 flush_lost() if out else flush()
             continue
-        attributes = m[3] or m[6] or ""
         if tag in BLOCKS:
             flush_lost() if out else flush()
-            # a paragraph ends where a block begins; list items and cells where the next one does
+            # a choice or drawing without an end, and a paragraph, end where a block begins; list items and cells where the next one does
             for i in range(len(stack) - 1, -1, -1):
                 name = stack[i][0]
-                if name == "p" or name == tag and tag in ("li", "td", "th", "tr", "dd", "dt", "option"):
+                if name == "p" or name in ("select", "svg") and tag not in ("option", "hr") or name == tag and tag in ("li", "td", "th", "tr", "dd", "dt", "option"):
                     close(i)
                     break
-                if name in BLOCKS:
+                if name in BLOCKS and name != "option":
                     break
-        elif not attributes:
+        elif not attributes and tag not in DROPPED:
             continue
         within = inside or tag in ("article", "main")
         gone = out or _out(tag, attributes, inside)
@@ -263,10 +275,12 @@ def _extract(rows: pa.Array) -> list[pa.Array]:
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages (page_id, url, html).
 
-    Null and empty html, and pages without main text, give an empty text. A
+    Null and empty html, and pages without main text, give an empty text. Pages
+    of any length are read whole; elements without an end tag end where their
+    parent does, a script or style without one takes the rest of the page. A
     null url is a host of its own; repeated rows are extracted alike and count
-    as one page of their host. Extra columns are ignored; empty pages give an
-    empty result.
+    as one page of their host. Subtrees at just the asked share go. Extra
+    columns are ignored; empty pages give an empty result.
     """
     scratch = Scratch(spark, "pages")
     host = F.coalesce(F.lower(F.regexp_extract(col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
