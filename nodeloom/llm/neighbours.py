@@ -1,15 +1,18 @@
 """Operator 2, embedding near-dedup by collision-counting projections.
 
-Vectors of one label and length are ordered along many random one-dimensional
+Vectors of one label and length are sorted along many random one-dimensional
 projections. A pair at the similarity limit lies within a window around either
 vector in almost every projection; others do so rarely. Pairs that collide in
 a recall-calibrated number of COUNTED projections are verified by their cosine.
 
-To compare near ones only, a group is first cut along other sorted projections
-at their medians, again and again until about LEAF vectors are left; vectors
-within WIDTH of a cut go to both sides, so a query's window is whole on one of
-them. TREES independent cuttings make up for pairs that a narrow window parts.
-A leaf of more than TILE vectors is compared in tiles, in several tasks.
+To compare near ones only, a group is first cut along other sorted projections,
+a level at a time: each node of more than LEAF vectors is cut at the place that
+few vectors lie near, and vectors within WIDTH of it go to both sides, so a
+query's window is whole on one of them. A node is left whole where every cut
+would send more than SPILL of its vectors both ways or part off less than
+BALANCE of them. So a level makes SPILL of copies at most, however dense a group
+is; a dense group, whose pairs all link, stays one leaf. A leaf of more than
+TILE vectors is compared in tiles, in several tasks.
 
 Equal vectors are one class, so copies are not compared with each other.
 """
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,23 +32,24 @@ from nodeloom.llm.frames import col, least_reached, link_components, small
 from nodeloom.llm.store import Scratch
 
 LIMIT = 0.98
-TREES = 2
 LEAF = 1024
 TILE = 4096
 #: Half widths in standard deviations of a projected pair at the limit: of cuts, of counted windows.
-WIDTH, WINDOW = 1.5, 2.5
+WIDTH, WINDOW = 1.0, 2.5
+#: Shares of a node's vectors: that a cut may send both ways, that it must part off.
+SPILL, BALANCE = 0.25, 0.2
 COUNTED = 16
 #: Share of pairs at the limit that the collision count may miss.
 MISSED = 1e-3
-#: Cuts at most; groups of more than LEAF << DEPTH vectors have larger leaves, which fall into tiles.
-DEPTH = 16
+#: Cuts at most, each along a projection of its own, and how many in a row may part nothing.
+DEPTH, IDLE = 24, 3
 
 
 def directions(dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit directions of the cuts (TREES * DEPTH) and of the counted projections."""
-    d = np.random.default_rng(1000 + dim).normal(size=(TREES * DEPTH + COUNTED, max(dim, 1)))
+    """Unit directions of the cuts and of the counted projections."""
+    d = np.random.default_rng(1000 + dim).normal(size=(DEPTH + COUNTED, max(dim, 1)))
     d /= np.linalg.norm(d, axis=1, keepdims=True)
-    return d[: TREES * DEPTH], d[TREES * DEPTH :]
+    return d[:DEPTH], d[DEPTH:]
 
 
 def spread(dim: int, limit: float = LIMIT) -> float:
@@ -95,83 +99,110 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.int64()), pa.array(np.full(len(ids), dim, np.int32)), pa.array(cls, pa.int64()), one(cuts), one(u)], names=["vec_id", "label", "dim", "cls", "cuts", "vector"])
 
 
+def collisions(p: np.ndarray, q: np.ndarray, w: float) -> np.ndarray:
+    """In how many projections (columns) each row of q lies within w of each row of p."""
+    count = np.zeros((len(p), len(q)), np.uint8)
+    edge = np.zeros((len(p), len(q) + 1), np.int8)
+    rows = np.arange(len(p))
+    for k in range(p.shape[1]):
+        order = np.argsort(q[:, k], kind="stable")
+        line = q[order, k]
+        edge[:] = 0
+        np.add.at(edge, (rows, np.searchsorted(line, p[:, k] - w, "left")), 1)  # the window opens
+        np.add.at(edge, (rows, np.searchsorted(line, p[:, k] + w, "right")), -1)
+        count[:, order] += np.cumsum(edge, 1, dtype=np.int8)[:, :-1].view(np.uint8)
+    return count
+
+
 def _tile(limit: float, least: int):
     schema = pa.schema([("cls", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        x = np.stack(table.column("vector").to_pylist())
-        cls, copies = table.column("cls").to_numpy(), table.column("copies").to_numpy()
-        lo, hi = np.stack(table.column("lo").to_pylist()), np.stack(table.column("hi").to_pylist())
-        block, i, j, tree = table.column("block").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py(), table.column("tree")[0].as_py()
-        dim = x.shape[1]
-        p, w = x @ directions(dim)[1].T, WINDOW * spread(dim, limit)
-        p = p.astype(np.float32)
+        x = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+        cls, copies, both = (table.column(c).to_numpy() for c in ("cls", "copies", "both"))
+        block, i, j = table.column("block").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        p, w = x @ directions(x.shape[1])[1].T, WINDOW * spread(x.shape[1], limit)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for s in range(0, len(left), 512):
-            rows = left[s : s + 512]
-            count = np.zeros((len(rows), len(right)), np.uint8)
-            for q in range(COUNTED):
-                count += np.abs(p[rows, q][:, None] - p[right, q][None, :]) <= w
-            a, b = np.nonzero(count >= least)
-            a, b = rows[a], right[b]
+        links, root = np.zeros(len(cls), np.int64), np.arange(len(cls))
+        for s in range(0, len(left), 256):
+            rows = left[s : s + 256]
+            passed = collisions(p[rows], p[right], w) >= least
             if i == j:
-                a, b = a[a < b], b[a < b]
-            # this leaf answers for a pair if it is the first that both are in
-            mine = (lo[a, tree] | lo[b, tree]) == table.column("code")[0].as_py()
-            for t in range(tree):
-                mine &= ((lo[a, t] | lo[b, t]) & ~(hi[a, t] & hi[b, t])) != 0
-            a, b = a[mine], b[mine]
-            for r in range(0, len(a), 1 << 16):
-                c, d = a[r : r + (1 << 16)], b[r : r + (1 << 16)]
-                ok = np.einsum("ij,ij->i", x[c], x[d]) >= limit
-                found.append((c[ok], d[ok]))
-        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        links = np.zeros(len(cls), np.int64)
-        np.add.at(links, a, copies[b])
-        np.add.at(links, b, copies[a])
+                passed &= rows[:, None] < right[None, :]
+            # of the leaves that a pair is in together only the one without a common right copy answers for it
+            passed &= (both[rows][:, None] & both[right][None, :]) == 0
+            some = np.flatnonzero(passed.any(0))
+            if not len(some):
+                continue
+            if passed.sum() * 16 > len(rows) * len(some):
+                a, b = np.nonzero(passed[:, some] & (x[rows] @ x[right[some]].T >= limit))
+                a, b = rows[a], right[some[b]]
+            else:
+                a, b = np.nonzero(passed)
+                a, b = rows[a], right[b]
+                ok = np.concatenate([np.einsum("ij,ij->i", x[a[r : r + (1 << 15)]], x[b[r : r + (1 << 15)]]) >= limit for r in range(0, len(a), 1 << 15)])
+                a, b = a[ok], b[ok]
+            links += np.bincount(a, weights=copies[b], minlength=len(cls)).astype(np.int64) + np.bincount(b, weights=copies[a], minlength=len(cls)).astype(np.int64)
+            root = least_reached(len(cls), *np.unique(np.stack([root[a], root[b]]), axis=1))[root]
         on = np.flatnonzero(links)
-        root = least_reached(len(cls), a, b)
         return pa.Table.from_arrays([pa.array(cls[on]), pa.array(links[on]), pa.array(cls[root[on]])], schema=schema)
 
     return run
 
 
+def leaves(one: DataFrame, limit: float, scratch: Scratch) -> DataFrame:
+    """(node, dim, cls, both): the leaves that each class is in; both: bits of the cuts where it is a right copy."""
+    rows = scratch.keep(one.select(F.xxhash64("label", "dim").alias("node"), "dim", "cls", F.lit(0).cast("long").alias("both"), "cuts"), "root")
+    width = F.lit(WIDTH) * F.sqrt(F.lit(2 * (1 - limit)) / F.col("dim"))
+    idle = 0
+    for b in range(DEPTH):
+        x = F.col("cuts")[b]
+        bins = rows.groupBy("node", "dim", F.floor(x / (width / 2)).alias("bin")).agg(F.count("*").alias("n"))
+        # the line of a node is two thousand bins or so; a cut at the end of a bin has two bins of its width on each side
+        along = Window.partitionBy("node").orderBy("bin")
+        sums = bins.select("*", F.sum("n").over(Window.partitionBy("node")).alias("all"), F.sum("n").over(along).alias("left"), F.sum("n").over(along.rangeBetween(-1, 2)).alias("near"))
+        part = F.least(F.col("left"), F.col("all") - F.col("left"))
+        fine = (F.col("all") > LEAF) & (F.col("near") <= F.col("all") * SPILL) & (part >= F.col("all") * BALANCE)
+        cuts = scratch.keep(sums.where(fine).groupBy("node", "dim").agg(F.max_by("bin", F.struct(part - F.col("near"), "bin")).alias("bin")).select("node", ((F.col("bin") + 1) * width / 2).alias("cut")), "cuts")
+        if not cuts.take(1):
+            idle += 1
+            if idle == IDLE or not rows.groupBy("node").count().where(F.col("count") > LEAF).take(1):
+                break
+            continue
+        idle = 0
+        low, high = x < F.col("cut") + width, x >= F.col("cut") - width
+        side = lambda goes, mark, both: F.when(goes, F.struct(F.xxhash64("node", F.lit(mark)).alias("node"), both.alias("both")))
+        stay = F.when(F.col("cut").isNull(), F.struct("node", "both"))
+        places = F.array_compact(F.array(stay, side(low, 2 * b, F.col("both")), side(high, 2 * b + 1, F.when(low, F.col("both").bitwiseOR(F.lit(1 << b))).otherwise(F.col("both")))))
+        after = rows.join(small(cuts), "node", "left").select(F.explode(places).alias("at"), "dim", "cls", "cuts").select("at.node", "dim", "cls", "at.both", "cuts")
+        after = scratch.keep(after, "level")
+        scratch.drop(rows, cuts)
+        rows = after
+    return rows.drop("cuts")
+
+
 def near_links(spark: SparkSession, vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding, label).
 
     Vectors that are null, empty, zero or hold null or non-finite components,
     and those without a label, link with nothing. Vectors of different lengths
-    are not compared. Repeated rows are equal vectors, linked with each other.
-    Rows without a vec_id can link but never name a component. Extra columns are
-    ignored; an empty table gives an empty result.
+    are not compared. Repeated rows are equal vectors, linked with each other;
+    vectors at a cut go to both sides, so ties part nothing. Rows without a
+    vec_id can link but never name a component. Extra columns are ignored; an
+    empty table gives an empty result.
     """
     scratch = Scratch(spark, "neighbours")
-    source = vectors.select(col("vec_id").cast("long").alias("vec_id"), col("label").cast("long").alias("label"), col("embedding").cast("array<float>").alias("embedding"))
+    source = vectors.select(col("vec_id").cast("long").alias("vec_id"), col("label").cast("long").alias("label"), col("embedding").cast("array<double>").alias("embedding"))
     read = scratch.keep(source.mapInArrow(_read, _COLUMNS), "unit")
     classes = scratch.keep(read.groupBy("cls").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
     one = read.dropDuplicates(["cls"]).join(classes, "cls").select("label", "dim", "cls", "copies", "cuts", "vector")
     one = scratch.keep(one, "one")
-
-    # medians along the cuts that a group of this size needs
-    groups = one.groupBy("label", "dim").agg(F.count("*").alias("n"), F.array(*[F.percentile_approx(F.col("cuts")[q], 0.5, 1000) for q in range(TREES * DEPTH)]).alias("medians"))
-    depth = F.least(F.lit(DEPTH), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / LEAF)))).cast("int")
-    groups = scratch.keep(groups.select("label", "dim", depth.alias("depth"), "medians"), "groups")
-    width = F.lit(WIDTH) * F.sqrt(F.lit(2 * (1 - limit)) / F.col("dim"))
-    step = lambda q: F.col("cuts")[q] - F.col("medians")[q]
-    code = lambda t, shift: sum((F.when((F.col("depth") > b) & (step(t * DEPTH + b) >= width * shift), 1 << b).otherwise(0) for b in range(DEPTH)), F.lit(0)).cast("int")
-    placed = one.join(small(groups), ["label", "dim"]).withColumn("lo", F.array(*[code(t, 1) for t in range(TREES)])).withColumn("hi", F.array(*[code(t, -1) for t in range(TREES)]))
-    # a leaf for every choice of the bits that are free
-    subsets = lambda t: F.expr(f"aggregate(sequence(0, {DEPTH - 1}), array(lo[{t}]), (acc, b) -> if(((lo[{t}] ^ hi[{t}]) & shiftleft(1, b)) <> 0, concat(acc, transform(acc, c -> c | shiftleft(1, b))), acc))")
-    leaf = lambda t: lambda c: F.struct(F.lit(t).alias("tree"), c.alias("code"))
-    leaves = F.flatten(F.array(*[F.transform(subsets(t), leaf(t)) for t in range(TREES)]))
-    spread_out = scratch.keep(placed.select("label", "dim", "cls", "copies", "lo", "hi", F.explode(leaves).alias("leaf")).select("label", "dim", "cls", "copies", "lo", "hi", "leaf.*"), "leaves")
-    keys = ["label", "dim", "tree", "code"]
-    sizes = spread_out.groupBy(*keys).agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    tiled = spread_out.join(sizes, keys).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    placed = leaves(one, limit, scratch)
+    sizes = scratch.keep(placed.groupBy("node").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks")), "sizes")
+    tiled = placed.join(small(sizes), "node").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(one.select("cls", "vector"), "cls")
-    found = tiled.select(*keys, "i", "j", "block", "cls", "copies", "lo", "hi", "vector").groupBy(*keys, "i", "j").applyInArrow(_tile(limit, needed()), "cls long, links long, root long")
+    tiled = tiled.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(one.select("cls", "copies", "vector"), "cls")
+    found = tiled.select("node", "i", "j", "block", "cls", "copies", "both", "vector").groupBy("node", "i", "j").applyInArrow(_tile(limit, needed()), "cls long, links long, root long")
     found = scratch.keep(found, "links")
 
     counts = found.groupBy("cls").agg(F.sum("links").alias("links"))
