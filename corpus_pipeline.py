@@ -4,11 +4,12 @@ quality     rows that the quality rules reject go
 near_copies one row of each group of linked documents stays, that of the smallest doc_id
 secrets     secret spans in texts give way to marks, n_chars follows
 mixing      sources come to their target weights: documents are repeated or left out, sorted by training position
-packing     documents go to length buckets and token-budget batches
+packing     the sorted copies, with their texts, go to length buckets and token-budget batches in that order
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -46,17 +47,33 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    size, m, c = free(docs, "size"), free(docs, "mix"), free(docs, "copy")
-    sized = mixing.with_size(docs, size)
-    mixed = mixing.mix(sized, size, ["doc_id"], whole=True, into=m)
-    copies = mixed.withColumn(c, F.explode(F.col(m)["copies"]))
-    return copies.sort(F.col(c)["position"], "doc_id").select(*map(col, docs.columns))
+    """The order of the rows is that of training; it lasts in the files that they are written to."""
+    size, m = free(docs, "size"), free(docs, "mix")
+    mixed = mixing.mix(mixing.with_size(docs, size), size, ["doc_id"], whole=True, into=m)
+    return mixing.in_order(mixed, ["doc_id"], m).select(*map(col, docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    size, p = free(docs, "n_tokens"), free(docs, "pack")
-    sized = Scratch(spark, "packing").keep(mixing.with_size(docs.select("doc_id", "text"), size, keep=["doc_id"]), "sizes")
-    return packing.pack(sized, size, ["doc_id"], into=p).select("doc_id", F.col(size).alias("n_tokens"), f"{p}.*")
+    """(doc_id, copy, place, text, n_tokens, bucket, bucket_len, batch, slot, padding): every copy with its text.
+
+    place numbers the rows of docs in the order of their files, copy those of one
+    doc_id; the batches of a bucket follow it. Docs that are read from no files
+    are written first.
+    """
+    scratch = Scratch(spark, "packing")
+    docs = docs.select("doc_id", "text")
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = scratch.keep(docs, "docs")
+    read = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    sized = scratch.keep(mixing.with_size(read, "n_tokens", keep=["doc_id", "file", "row"]), "sizes")
+    files = sized.groupBy("file").agg(F.count("*").alias("rows"))
+    files = files.withColumn("before", F.sum("rows").over(Window.orderBy("file")) - F.col("rows")).drop("rows")  # one row a file
+    placed = sized.join(files, "file").withColumn("place", F.col("before") + F.col("row")).drop("before")
+    copy = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("place"))).orderBy("place"))
+    packed = packing.pack(scratch.keep(placed.withColumn("copy", copy), "placed"), "n_tokens", [], place="place")
+    return packed.join(read.select("file", "row", "text"), ["file", "row"]).select("doc_id", "copy", "place", "text", "n_tokens", "pack.*")
 
 
 STAGES = [("quality", quality_stage), ("near_copies", near_copies_stage), ("secrets", secrets_stage), ("mixing", mixing_stage), ("packing", packing_stage)]

@@ -57,8 +57,8 @@ def _size_kernel(texts: pa.Array) -> list[pa.Array]:
 
 
 def with_size(docs: DataFrame, into: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds the number of words; null text has none."""
-    s = free(docs, "s")
+    """Adds the number of words; null text has none. Where a column is called like `into`, it gets trailing underscores."""
+    s, into = free(docs, "s"), free(docs if keep is None else docs.select(*map(col, keep)), into)
     made = with_kernel(docs, _size_kernel, T.StructType([T.StructField("n", T.LongType())]), s, text, keep)
     return made.withColumn(into, F.col(s)["n"]).drop(s)
 
@@ -97,8 +97,11 @@ def mix(docs: DataFrame, size: str, order: list[str], source: str = "source", sc
     its target; else as many of its words as the target asks for. Null sources
     are one source, the last. Rows without words take no part (no copies). The
     order columns tell rows apart; rows alike in them and in size are
-    interchangeable, so reruns agree. Empty docs give an empty result.
+    interchangeable, so reruns agree. Empty docs give an empty result, other
+    columns pass through, and one called like `into` makes the struct take
+    trailing underscores.
     """
+    into = free(docs, into)
     src, at, place = free(docs, "src"), free(docs, "at"), free(docs, "place")
     found = targets(docs, size, col(source), schedules, epochs).withColumnRenamed("src", src).select(src, F.struct("source_size", "target", "rank").alias(at))
     marked = docs.withColumn(src, F.coalesce(F.concat(F.lit("="), col(source)), F.lit("")))
@@ -121,3 +124,13 @@ def mix(docs: DataFrame, size: str, order: list[str], source: str = "source", sc
     taken = F.aggregate(copies, F.lit(0).cast("long"), lambda a, c: a + c["words"])
     struct = F.struct(F.col(at)["source_size"].alias("source_size"), t.alias("target"), taken.alias("taken"), copies.alias("copies"))
     return placed.withColumn(into, struct).drop(src, at, place)
+
+
+def in_order(mixed: DataFrame, order: list[str], into: str = "mix") -> DataFrame:
+    """The mix itself: a row for each copy of a document, into its struct (epoch, words, position), sorted by range of position.
+
+    Copies at one position go by the order columns, then by epoch; documents that the mix leaves out have no row.
+    """
+    c = free(mixed, "copy")
+    copies = mixed.withColumn(c, F.explode(F.col(into)["copies"]))
+    return copies.sort(F.col(c)["position"], *map(col, order), F.col(c)["epoch"]).withColumn(into, F.col(c)).drop(c)

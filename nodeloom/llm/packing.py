@@ -1,17 +1,22 @@
 """Operator 4, packing: optimal length buckets and token-budget batches.
 
-A global histogram of document lengths (bounded: lengths above EXACT are
-rounded up by 1/256 at most) feeds a dynamic programme that chooses the bucket
-boundaries with the least padding. Inside a bucket, documents in hash order
-fill batches whose padded size stays within the token budget. Batch numbers
-come from running counts over hash parts, so a bucket may hold any share of
-the rows.
+The global histogram of document lengths feeds a dynamic programme that chooses
+the bucket boundaries with the least padding. Its driver needs memory for the
+distinct lengths only: d of them need d * (d - 1) / 2 tokens, so a corpus of N
+tokens has at most sqrt(2 N) + 1 (a hundred thousand for 5e9 tokens).
+
+Inside a bucket, documents in the given order (a hash of the order columns where
+there is none) fill batches whose padded size stays within the token budget.
+Batch numbers come from running counts over parts of a bucket, so a bucket may
+hold any share of the rows.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+from itertools import accumulate
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.llm.frames import col, free, running
@@ -19,60 +24,70 @@ from nodeloom.llm.frames import col, free, running
 BUCKETS = 16
 #: Tokens of a batch, padding included; a longer document is a batch of its own.
 BUDGET = 65_536
-EXACT = 1024
+#: Places in the given order that make a part of a bucket.
+PLACES = 1 << 16
 
 
-def rounded(n: Column) -> Column:
-    """Lengths up to EXACT stay; longer ones go up to a multiple of their power of two / 256."""
-    step = F.when(n <= EXACT, F.lit(1).cast("long")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double"))) - 8).cast("long"))
-    return (F.ceil(n / step) * step).cast("long")
+def boundaries(lengths: Iterable[int], counts: Iterable[int], buckets: int = BUCKETS) -> list[int]:
+    """The upper ends of at most this many buckets that minimise the padding up to them, in whole numbers.
 
-
-def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
-    """The upper ends of at most this many buckets that minimise the padding up to them."""
-    if not len(lengths):
+    With one bucket more, length j costs size[j] * n[j + 1] and the least over i < j of best[i] - size[j] * n[i + 1]: of
+    lines whose slopes fall, asked at rising places, so their lower hull serves all j in one pass.
+    """
+    both = sorted(zip(map(int, lengths), map(int, counts), strict=True))
+    if not both:
         return []
-    order = np.argsort(lengths)
-    size, n = lengths[order].astype(np.float64), np.concatenate([[0], np.cumsum(counts[order])]).astype(np.float64)
+    size, n = [x for x, _ in both], [0, *accumulate(c for _, c in both)]
     m, k = len(size), min(buckets, len(size))
-    # padded size up to length j with its last bucket (i, j]; the tokens themselves are the same for every choice
-    best = n[1:] * size
-    cut = np.zeros((k, m), np.int64)
-    for b in range(1, k):
-        now = best.copy()
+    best, cuts = [n[j + 1] * size[j] for j in range(m)], []
+    for _ in range(1, k):
+        now, cut, hull, at = best.copy(), [0] * m, [], 0
         for j in range(1, m):
-            options = best[:j] + size[j] * (n[j + 1] - n[1 : j + 1])
-            i = int(np.argmin(options))
-            if options[i] < now[j]:
-                now[j], cut[b, j] = options[i], i + 1
+            slope, base = -n[j], best[j - 1]
+            while len(hull) - at >= 2:  # the last line goes if the new one passes below where it meets the one before
+                (s1, b1, _), (s2, b2, _) = hull[-2], hull[-1]
+                if (base - b1) * (s1 - s2) > (b2 - b1) * (s1 - slope):
+                    break
+                hull.pop()
+            hull.append((slope, base, j))
+            x = size[j]
+            while at + 1 < len(hull) and hull[at + 1][0] * x + hull[at + 1][1] <= hull[at][0] * x + hull[at][1]:
+                at += 1
+            found = x * n[j + 1] + hull[at][0] * x + hull[at][1]
+            if found < now[j]:
+                now[j], cut[j] = found, hull[at][2]
         best = now
-    ends, j, b = [], m - 1, k - 1
-    while True:
-        ends.append(int(size[j]))
-        while b and not cut[b, j]:
-            b -= 1
-        if not b:
-            break
-        j, b = int(cut[b, j]) - 1, b - 1
-    return ends[::-1]
+        cuts.append(cut)
+    ends, j = [], m - 1
+    for cut in reversed([[0] * m, *cuts]):
+        if cut[j]:
+            ends.append(size[j])
+            j = cut[j] - 1
+    return [*sorted([*ends, size[j]])]
 
 
-def pack(docs: DataFrame, size: str, order: list[str], buckets: int = BUCKETS, budget: int = BUDGET, into: str = "pack") -> DataFrame:
+def pack(docs: DataFrame, size: str, order: list[str], buckets: int = BUCKETS, budget: int = BUDGET, into: str = "pack", place: str | None = None) -> DataFrame:
     """Adds a struct (bucket, bucket_len, batch, slot, padding) to every row.
 
-    Rows with a null or zero size are in bucket 0 with the shortest ones.
-    Empty docs give an empty result. Rows alike in the order columns and size
-    are interchangeable, so reruns agree.
+    place: a column of whole numbers from 0 whose order the batches of a bucket
+    follow; else it is that of a hash of the order columns. Rows with a null or
+    zero size are in bucket 0 with the shortest ones; a row longer than the
+    budget is a batch of its own. Empty docs give an empty result. Rows alike
+    in the order columns and size are interchangeable, so reruns agree. Other
+    columns pass through; one called like `into` makes the struct take trailing
+    underscores.
     """
+    into = free(docs, into)
     n = F.coalesce(col(size), F.lit(0)).cast("long")
-    histogram = docs.groupBy(rounded(n).alias("length")).agg(F.count("*").alias("rows")).toArrow()  # bounded by rounded()
-    ends = boundaries(histogram.column("length").to_numpy(), histogram.column("rows").to_numpy(), buckets) or [0]
+    histogram = docs.groupBy(n.alias("length")).agg(F.count("*").alias("rows")).toArrow()  # sqrt(2 * tokens) + 1 rows at most
+    ends = boundaries(histogram.column("length").to_pylist(), histogram.column("rows").to_pylist(), buckets) or [0]
     bucket, one, rank, wide = (free(docs, x) for x in ("bucket", "one", "rank", "wide"))
     number = F.lit(len(ends) - 1)
     for i in reversed(range(len(ends) - 1)):
-        number = F.when(rounded(n) <= ends[i], F.lit(i)).otherwise(number)
+        number = F.when(n <= ends[i], F.lit(i)).otherwise(number)
     length = F.element_at(F.array(*map(F.lit, ends)), F.col(bucket) + 1).cast("long")
-    ranked = running(docs.withColumn(bucket, number).withColumn(one, F.lit(1).cast("long")), [bucket], one, order, rank)
+    numbered = docs.withColumn(bucket, number).withColumn(one, F.lit(1).cast("long"))
+    ranked = running(numbered, [bucket], one, order, rank) if place is None else running(numbered, [bucket], one, [place, *order], rank, F.floor(col(place) / PLACES))
     ranked = ranked.withColumn(wide, F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(length, F.lit(1)))).cast("long"))
     struct = F.struct(F.col(bucket).alias("bucket"), length.alias("bucket_len"), F.floor(F.col(rank) / F.col(wide)).cast("long").alias("batch"), (F.col(rank) % F.col(wide)).cast("long").alias("slot"), (length - n).alias("padding"))
     return ranked.withColumn(into, struct).drop(bucket, one, rank, wide)

@@ -18,7 +18,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     sized = Scratch(spark, "mixing").keep(mixing.with_size(docs, "size", keep=["doc_id", "source"]), "sizes")
     mixed = mixing.mix(sized, "size", ["doc_id"])
-    return mixed.select("doc_id", "size", "mix.source_size", "mix.target", "mix.taken", F.get("mix.copies", F.lit(0))["position"].alias("first_position"))
+    rows = mixed.select("doc_id", "size", "mix.source_size", "mix.target", "mix.taken", F.get("mix.copies", F.lit(0))["position"].alias("first_position"))
+    return rows.sort(F.col("first_position").asc_nulls_last(), "doc_id")  # range-sorted, what the mix leaves out comes last
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

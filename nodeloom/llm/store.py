@@ -12,9 +12,11 @@ _LEFT: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder of our own only where that is unset."""
+    """spark.checkpoint.dir of the session; a temporary folder of our own only where that is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='nodeloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -95,10 +95,12 @@ def test_jaccard_of_rows_without_id_and_of_ids_with_two_texts(spark):
 
 
 def test_jaccard_by_every_path(spark, docs, texts, monkeypatch):
-    """The same groups with tiles of three sets and with components from distributed rounds."""
+    """The same groups with tiles of a few sets, links joined a few at a time, all tokens taken as frequent and bits that call for many rows."""
     want = sorted((str(r.doc_id), str(r.component_id)) for r in jaccard.jaccard_groups(spark, docs).collect())
-    monkeypatch.setattr(jaccard, "TILE", 3)
-    monkeypatch.setattr("nodeloom.llm.frames.ONE_TASK", 0)
+    monkeypatch.setattr(jaccard, "TILE", 300)
+    monkeypatch.setattr(jaccard, "HOT", 0)
+    monkeypatch.setattr(jaccard, "WANTED_BITS", 15)
+    monkeypatch.setattr("nodeloom.llm.frames.LINKS_AT_ONCE", 5)
     assert sorted((str(r.doc_id), str(r.component_id)) for r in jaccard.jaccard_groups(spark, docs).collect()) == want
 
 
@@ -221,6 +223,8 @@ def test_mixing(spark, docs, empty, texts):
     again = mixing.mix(sized.repartition(7), "size", ["doc_id", "text"]).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
     assert mixing.mix(mixing.with_size(empty, "size"), "size", ["doc_id"]).count() == 0
+    places = [r.mix.position for r in mixing.in_order(mixing.mix(sized, "size", ["doc_id", "text"]), ["doc_id"]).collect()]
+    assert places == sorted(places) == sorted(c.position for r in rows for c in r.mix.copies)
 
 
 @pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, "c": 100}, {"a": 1, "b": 1000, "c": 10, None: 5}, {"a": 0, "b": 7}, {f"s{i}": (i * 37) % 11 for i in range(9)}])
@@ -264,19 +268,34 @@ def test_packing(spark, docs, empty):
     assert packing.pack(mixing.with_size(empty, "n"), "n", ["doc_id"]).count() == 0
 
 
-def test_boundaries_are_optimal():
+def test_packing_of_long_texts_in_order(spark, monkeypatch):
+    """Bounds and batches by brute force, lengths far above a thousand, batches in order of place."""
     import itertools
 
-    import numpy as np
+    monkeypatch.setattr(packing, "PLACES", 7)
+    rng = random.Random(8)
+    sizes = [rng.choice((1, 3, 1023, 1024, 1025, 1027, 2048, 2051, 5000, 70_001)) for _ in range(80)] + [None, 0]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "place long, n long").repartition(5)
+    rows = sorted(packing.pack(df, "n", [], buckets=4, budget=6000, place="place").collect())
+    lengths = sorted({n or 0 for n in sizes})
+    least = min(sum(min(e for e in (*cut, lengths[-1]) if e >= (n or 0)) for n in sizes) for cut in itertools.combinations(lengths[:-1], 3))
+    assert sum(r.pack.bucket_len for r in rows) == least and all(r.pack.padding == r.pack.bucket_len - (r.n or 0) for r in rows)
+    taken: dict[int, int] = {}
+    for r in rows:
+        rank, wide = taken.get(r.pack.bucket, 0), max(1, 6000 // max(1, r.pack.bucket_len))
+        taken[r.pack.bucket] = rank + 1
+        assert (r.pack.batch, r.pack.slot) == (rank // wide, rank % wide)
 
-    rng = np.random.default_rng(1)
-    for _ in range(20):
-        size, n = np.unique(rng.integers(1, 60, 9)), rng.integers(1, 9, 9)
-        n = n[: len(size)]
-        for k in (1, 2, 3):
-            cost = lambda ends: sum(c * min(e for e in ends if e >= x) for x, c in zip(size, n, strict=True))  # noqa: E731,B023
-            best = min(cost([*cut, size[-1]]) for cut in itertools.combinations(size[:-1], min(k, len(size)) - 1))
-            assert cost(packing.boundaries(size, n, k)) == best and len(packing.boundaries(size, n, k)) <= k
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 7, 8, 9)], "doc_id long, text string, source string, size long, mix long, pack long")
+    sized = mixing.with_size(df, "size")
+    assert sized.columns[-1] == "size_" and sized.first().size_ == 2 and sized.first()["size"] == 7
+    mixed = mixing.mix(sized, "size_", ["doc_id"])
+    assert mixed.first().mix == 8 and mixed.first().mix_.taken == 2
+    packed = packing.pack(sized, "size_", ["doc_id"])
+    assert packed.first().pack == 9 and packed.first().pack_.bucket_len == 2
+    assert [r.mix_.words for r in mixing.in_order(mixed, ["doc_id"], "mix_").collect()] == [2]
 
 
 def test_toxicity(spark, empty):
@@ -300,7 +319,7 @@ def test_toxicity(spark, empty):
 
 
 def test_toxicity_learns_from_long_texts(spark):
-    assert toxicity.distinct(pa.array(["B a, b A'c", None, "..."]))[0].to_pylist() == [b"b a c", b"", b""]
+    assert toxicity.bags(pa.array(["B a, b A'c", None, "..."]))[0].to_pylist() == [b"b a c", b"", b""]
     rng = random.Random(6)
     clean = ["thand", "ereth", "onwhe", "ingly", "haore", "stnda", "blewh"]
     rows, labels = [], []
@@ -349,6 +368,52 @@ def test_pages_by_section_and_template(spark):
     assert [out[500 + i] for i in range(40)] == [f"Words {i} of its own." + "\n\nQuoted." * (i % 2) for i in range(40)]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>hello</p><svg/><p>world</p>", ["hello", "world"]),
+        ("<p>a</p><select><option>x<p>b</p><div>c</div>", ["a", "b", "c"]),
+        ("<div><object><p>x</div><p>b</p>", ["b"]),
+        ("<p>x</p><title/><p>y</p><textarea><p>z</p>", ["x", "y", "z"]),
+        ("<p>a <svg viewBox='0'><text>no</text></svg> b</p><p>E = <math><mi>m</mi></math></p>", ["a b", "E = m"]),
+        ("<h1 class='share-price'>H</h1><p class='related-work'>w</p><section id='social-history'>s</section><div class='notice-board'>n</div>", ["H", "w", "s", "n"]),
+        ("<div class='cookie-notice'>no</div><div class=site-footer>no</div><ul id='nav_bar'><li>no</ul><div class='x comment-list-2'>no</div><p>b", ["b"]),
+        ("<p>a</p><script>var x", ["a"]),
+        ("<p>" + "word " * 200_000 + "<div><p>open", [("word " * 200_000).strip(), "open"]),
+    ],
+)
+def test_page_markup(page, want):
+    assert pages.parse(page)[0] == want
+
+
+def test_page_counts_are_those_of_brute_force(spark):
+    """The subtrees that go, with every group counted page by page in Python."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(160):
+        boxes = "".join(f"<div>Box {b}</div>" for b in range(6) if rng.random() < b / 6)
+        body = f"<article><p>Own {i}.</p>{boxes}</article>" if i % 3 else f"<div><p>Own {i}.</p>{boxes}</div>"
+        rows.append((i, f"https://h{i % 2}.example/{'ab'[i % 5 < 2]}/{i}", body))
+    read = {i: pages.parse(h) for i, _, h in rows}
+    groups: dict[tuple, list[int]] = {}
+    for i, url, _ in rows:
+        _, _, article, _, template = read[i]
+        host, section = url.split("/")[2:4]
+        for g in ((host,), (host, article), (host, article, section), (host, article, template, 0)):
+            groups.setdefault(g, []).append(i)
+    gone: dict[int, set] = {i: set() for i in read}
+    for members in groups.values():
+        for tree in {t[0] for i in members for t in read[i][1]}:
+            n = sum(tree in {t[0] for t in read[i][1]} | set(read[i][3]) for i in members)
+            for i in members:
+                share, least = (pages.ARTICLE_SHARE, pages.ARTICLE_PAGES) if read[i][2] else (pages.SHARE, pages.PAGES)
+                if n >= least and n >= share * len(members):
+                    gone[i] |= {b for h, a, z in read[i][1] if h == tree for b in range(a, z)}
+    want = {i: "\n\n".join(b for k, b in enumerate(r[0]) if k not in gone[i]) for i, r in read.items()}
+    got = {r.page_id: r.text for r in pages.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want and any(gone.values()) and any("Box" in t for t in want.values())
+
+
 def test_neighbours(spark, monkeypatch):
     import numpy as np
 
@@ -390,6 +455,43 @@ def test_neighbours(spark, monkeypatch):
     assert neighbours.near_links(spark, spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_collisions_are_counted_along_sorted_lines():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    p, q = rng.integers(0, 9, (20, 7)) / 4, rng.integers(0, 9, (30, 7)) / 4  # many ties
+    assert (neighbours.collisions(p, q, 0.5) == (np.abs(p[:, None] - q[None]) <= 0.5).sum(2)).all()
+
+
+def test_dense_groups_are_not_copied_by_cuts(spark):
+    """Near copies of one vector stay in one leaf; of spread ones and copies together few go several ways, and no pair is lost."""
+    import numpy as np
+
+    from nodeloom.llm.store import Scratch
+
+    rng = np.random.default_rng(9)
+    dim, dense, n = 64, 8000, 16000
+    x = rng.normal(size=(n, dim))
+    x[:dense] = rng.normal(size=dim) + rng.normal(size=(dense, dim)) * 0.05
+    x[dense + 1 :: 2] = x[dense::2] + rng.normal(size=((n - dense) // 2, dim)) * 0.1
+    rows = [(i, [float(v) for v in x[i]], int(i >= dense)) for i in range(n)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(8)
+    scratch = Scratch(spark, "test")
+    read = scratch.keep(df.mapInArrow(neighbours._read, neighbours._COLUMNS), "unit")
+    places = neighbours.leaves(read, neighbours.LIMIT, scratch).groupBy("cls").count().join(read.select("cls", "label"), "cls").groupBy("label").agg(F.sum("count").alias("n"), F.max("count").alias("most")).collect()
+    places = {r.label: r for r in places}
+    assert places[0].n == dense and (n - dense) < places[1].n < 4 * (n - dense)  # one leaf each; several cuts
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.zeros(n, np.int64)
+    for part in (slice(0, dense), slice(dense, n)):
+        for s in range(part.start, part.stop, 1000):
+            want[s : s + 1000] = (u[s : s + 1000] @ u[part].T >= neighbours.LIMIT).sum(1) - 1
+    got = np.zeros(n, np.int64)
+    for r in neighbours.near_links(spark, df).collect():
+        got[r.vec_id] = r.n_links
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum() and got[dense:].sum() >= 0.97 * want[dense:].sum() > 0
+
+
 def test_pipeline(spark, sf_dir, tmp_path):
     import corpus_pipeline
 
@@ -401,7 +503,156 @@ def test_pipeline(spark, sf_dir, tmp_path):
         assert docs.columns == columns, name
         sizes.append(docs.count())
     assert sizes[0] > sizes[1] > sizes[2] == sizes[3] > 0
-    ids = lambda t: {r[0] for r in spark.read.parquet(f"{tmp_path}/{t}").select("doc_id").collect()}
-    groups = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(spark, spark.read.parquet(f"{tmp_path}/quality")).collect()}
-    assert ids("near_copies") == set(groups.values()) and ids("mixing") <= ids("secrets")
-    assert corpus_pipeline.run(spark, sf_dir).count() == sizes[4]
+    packed = corpus_pipeline.run(spark, sf_dir).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/secrets").collect()}
+    order = [r.doc_id for r in spark.read.parquet(f"{tmp_path}/mixing").select("doc_id", "_metadata.file_path", "_metadata.row_index").orderBy("file_path", "row_index").collect()]
+    assert [r.doc_id for r in sorted(packed, key=lambda r: r.place)] == order and len(packed) == sizes[4]
+    assert all(r.text == texts[r.doc_id] and r.n_tokens == len(re.findall(WORDS, r.text)) for r in packed)
+
+
+def test_pipeline_rows_by_brute_force(spark, tmp_path):
+    """Every row of run() against the five stages in plain Python."""
+    import bisect
+
+    import corpus_pipeline
+    import numpy as np
+
+    from nodeloom.llm import words as W
+
+    rng = random.Random(21)
+    make = lambda v, n: " ".join(rng.choice(v) for _ in range(n))
+    good, bad = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)], [f"x{i}%" for i in range(300)]
+    rows, labels = [], []
+    for i in range(120):
+        t = make(bad if i % 6 == 5 else good, rng.randint(52, 90))
+        labels.append((i, int(i % 6 != 5), 0))
+        if i % 4 == 0 and i % 6 != 5:
+            t += f" password={'q' * (6 + i % 3)} end"
+        rows.append((i, t, "en", "abc"[i * i % 3] if i % 11 else None, len(t)))
+    for i in range(120, 150):  # near copies
+        t = rows[i - 120][1].split(" ")
+        t[rng.randrange(len(t))] = "zz"
+        rows.append((i, " ".join(t), "en", "b", 5))
+    rows += [(150, None, None, "a", None), (151, "", "en", "a", 0), (152, "short text", "en", "a", 9), rows[0]]
+    sf = str(tmp_path / "sf")
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    got = corpus_pipeline.run(spark, sf).collect()
+    hashes = lambda ids: {r[0]: r[1] for r in spark.createDataFrame([(x,) for x in ids], "i long").selectExpr("i", "xxhash64(i) h").collect()}
+
+    # quality: the two multinomials and the threshold, document by document
+    def grams(t: str) -> list[int]:
+        out = []
+        for c in W.chunks(pa.array([t])):
+            out += quality.features(c, c.hashes())[0].tolist()
+        return out
+
+    ids = [i for i, q, _ in labels if q == 1]
+    h = hashes(ids)
+    ranked = sorted(ids, key=lambda i: (h[i], i))
+    fit, unseen = set(ranked[::2]), set(ranked[1::2])
+    raw, target = np.full(quality.N_BUCKETS, quality.PRIOR), np.full(quality.N_BUCKETS, quality.PRIOR)
+    for i, t, *_ in rows:
+        for g in grams(t or ""):
+            raw[g] += 1
+            target[g] += i in fit
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    score = lambda t: float(np.mean([ratio[g] for g in grams(t)])) if grams(t or "") else 0.0
+    known = sorted(score(t) for i, t, *_ in rows if i in unseen)
+    least = known[int(quality.MISSED * len(known))]
+    least -= quality.MARGIN * (np.median(known) - least)
+    docs = [r for r in rows if not brute_quality(r[1])[-1] and score(r[1]) >= least - 1e-12]
+    assert 0 < len(docs) < len(rows) - 4
+
+    # near copies: the smallest doc_id of each group
+    docs = sorted(set(docs))
+    sets, root = [shingles(r[1]) for r in docs], list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    docs = [r for i, r in enumerate(docs) if root[i] == i]
+
+    # secrets
+    docs = [(i, re.sub(r"password=(\w{6,})", "[assign removed]", t), s) for i, t, _, s, _ in docs]
+    assert any("[assign removed]" in t for _, t, _ in docs)
+
+    # mixing: water filling in rounds, copies one after another in hash order, the schedule inverted by bisection
+    size = {i: len(re.findall(WORDS, t)) for i, t, _ in docs}
+    names = [*sorted({s for *_, s in docs if s is not None}), None]
+    total = {s: sum(size[i] for i, _, x in docs if x == s) for s in names}
+    weight, left, open_, goal = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}, sum(size.values()), set(names), {}
+    while open_:
+        share = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 3 * total[s]}
+        for s in over or open_:
+            goal[s] = 3 * total[s] if over else share[s]
+        left, open_ = left - sum(3 * total[s] for s in over), open_ - over if over else set()
+    h = hashes(size)
+
+    def inside(k: int, t: float) -> float:
+        s = mixing.SCHEDULES[k % 3]
+        return sum((min(t, t1) - t0) * (w0 + w0 + (w1 - w0) * (min(t, t1) - t0) / (t1 - t0)) / 2 for (t0, w0), (t1, w1) in zip(s, s[1:], strict=False) if t > t0) / mixing.area(s)
+
+    grid, copies = [x / 20_000 for x in range(20_001)], []
+    for k, s in enumerate(names):
+        line, at = [inside(k, t) for t in grid], 0
+        for e in range(3):
+            for i in sorted((i for i, _, x in docs if x == s), key=lambda i: (h[i] % 4096, h[i])):
+                if (goal[s] - at) * 2 >= size[i] > 0:
+                    copies.append((grid[min(20_000, bisect.bisect_left(line, min(1.0, (at + size[i] / 2) / goal[s])))], i))
+                at += size[i]
+    text = {i: t for i, t, _ in docs}
+    rows_ = sorted(got, key=lambda r: r.place)
+    assert [r.place for r in rows_] == list(range(len(copies))) and sorted(r.doc_id for r in rows_) == sorted(i for _, i in copies)
+    place = {}
+    for t, i in sorted(copies):
+        place.setdefault(i, []).append(t)
+    seen: dict[int, int] = {}
+    times = []
+    for r in rows_:
+        assert r.copy == seen.get(r.doc_id, 0) + 1 and r.text == text[r.doc_id] and r.n_tokens == size[r.doc_id]
+        times.append(place[r.doc_id][seen.get(r.doc_id, 0)])
+        seen[r.doc_id] = r.copy
+    assert all(a <= b + 2e-4 for a, b in zip(times, times[1:], strict=False))
+
+    # packing: the bounds are tested by themselves
+    ends, taken = packing.boundaries(*zip(*[(n, sum(size[i] == n for _, i in copies)) for n in {size[i] for _, i in copies}], strict=True)), {}
+    for r in rows_:
+        b = bisect.bisect_left(ends, r.n_tokens)
+        rank, wide = taken.get(b, 0), packing.BUDGET // ends[b]
+        taken[b] = rank + 1
+        assert (r.bucket, r.bucket_len, r.batch, r.slot, r.padding) == (b, ends[b], rank // wide, rank % wide, ends[b] - r.n_tokens)
+
+
+#: The columns that each query must return, and the table whose rows it answers for.
+CONTRACT = {
+    "op1_mixing": ("documents", "doc_id size source_size target taken"),
+    "op2_neighbours": ("embeddings", "vec_id n_links component_id kept"),
+    "op3_quality": ("documents", "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept"),
+    "op4_packing": ("documents", "doc_id n_tokens bucket bucket_len batch slot padding"),
+    "op5_toxicity": ("documents", "doc_id held_out score predicted"),
+    "op6_pages": ("pages", "page_id url text n_chars"),
+    "op7_secrets": ("documents", "doc_id n_assign n_access n_hex base_sha256 spans"),
+    "op8_substrings": ("documents", "doc_id n_words n_removed kept_sha256"),
+    "op9_licenses": ("documents", "doc_id n_words n_base first_word last_word base_labels labels score"),
+    "op10_jaccard": ("documents", "doc_id n_shingles component_id"),
+}
+
+
+@pytest.mark.parametrize("name", CONTRACT)
+def test_query(spark, sf_dir, name):
+    """Every registered query answers once for every row of its table."""
+    from nodeloom.llm.queries import QUERIES
+
+    table, columns = CONTRACT[name]
+    out = QUERIES[name](spark, sf_dir)
+    assert set(columns.split()) <= set(out.columns)
+    key = columns.split()[0]
+    want = sorted(str(r[0]) for r in read(spark, sf_dir, table).select(key).collect())
+    rows = out.collect()
+    assert sorted(str(r[key]) for r in rows) == want
+    if name == "op1_mixing":
+        places = [r.first_position for r in rows]
+        assert places == sorted((p for p in places if p is not None)) + [None] * places.count(None)
