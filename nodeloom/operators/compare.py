@@ -49,13 +49,18 @@ HINTS = (
 )
 
 
-def hint(expression: str) -> str | None:
-    return next((text for pattern, text in HINTS if re.search(pattern, expression)), None)
+#: What to do with an expression that no sign explains, and with valid ones.
+OTHER_HINT = "rewrite it by the grammar of the standard; the error names the place"
+VALID_HINTS = {"VALID": "the result is a list of nodes: read it with values()", "VALID_SINGLE_VALUE": "at most one node: read it with first() or single()", "WRITE_API": "queries do not write: use an overlay", "NOT_A_LITERAL": "the expression is computed: check what the program builds"}
+
+
+def hint(expression: str) -> str:
+    return next((text for pattern, text in HINTS if re.search(pattern, expression)), OTHER_HINT)
 
 
 def hints(expression: Column) -> Column:
-    """The first hint of each expression; null without one."""
-    out = F.lit(None).cast("string")
+    """The first hint of each expression, a general one where none fits."""
+    out = F.lit(OTHER_HINT)
     for pattern, text in reversed(HINTS):
         out = F.when(expression.rlike(pattern), text).otherwise(out)
     return out
@@ -66,11 +71,11 @@ WRITE_CALLS = ("set", "put", "add", "delete", "renameKey", "map")
 
 
 def assess(expression: str | None, call: str = "read") -> str:
-    """VALID, VALID_SINGLE_VALUE, NOT_RFC_9535, WRITE_API or NOT_A_LITERAL."""
-    if call in WRITE_CALLS:
-        return "WRITE_API"
+    """VALID, VALID_SINGLE_VALUE, NOT_RFC_9535, WRITE_API or NOT_A_LITERAL; the last whatever the call."""
     if expression is None:
         return "NOT_A_LITERAL"
+    if call in WRITE_CALLS:
+        return "WRITE_API"
     try:
         return "VALID_SINGLE_VALUE" if parse(expression).singular else "VALID"
     except JsonPathSyntaxError:
@@ -84,7 +89,10 @@ def assess_table(df: DataFrame, expression: str, call: str | None = None) -> Dat
         return pd.Series([assess(x, y) for x, y in zip(e, c, strict=True)])
 
     judged = judge(F.col(expression), F.col(call) if call else F.lit("read"))
-    return df.withColumn("assessment", judged).withColumn("hint", F.when(F.col("assessment") == "NOT_RFC_9535", hints(F.col(expression))))
+    advice = hints(F.col(expression))
+    for kind, text in VALID_HINTS.items():
+        advice = F.when(F.col("assessment") == kind, text).otherwise(advice)
+    return df.withColumn("assessment", judged).withColumn("hint", advice)
 
 
 class Checks:

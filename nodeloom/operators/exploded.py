@@ -1,8 +1,7 @@
 """Queries over a node table: one row a node, for very large documents and questions across documents.
 
 Children are equi-joins on (document, parent), descendants interval joins on
-pre-order numbers; a root descendant of names is a filter alone. Rows carry an
-order key of (parent, child, selector) per segment, so results sort as the
+pre-order numbers. Rows carry an order key of (parent, child, selector) per segment, so results sort as the
 query lists them. Store the table bucketed by document to join without a shuffle.
 """
 
@@ -11,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.operators.rowlocal import NotNative, RowLocal
+from nodeloom.operators.rowlocal import NotNative, RowLocal, refuse_limits
 from nodeloom.plans import ast as A
 from nodeloom.plans.query import JsonPath
 from nodeloom.sources.shredder import scalar_key
@@ -28,6 +27,7 @@ class Exploded:
     """One query over a node table; filters may test existence of relative queries and compare them with literals."""
 
     def __init__(self, path: JsonPath, nodes: DataFrame):
+        refuse_limits(path)
         self.path, self.table = path, nodes
 
     def nodes(self) -> DataFrame:
@@ -35,6 +35,11 @@ class Exploded:
         now = self.table.where("pre = 0").select("doc_id", F.col("pre").alias("at"), F.array().cast("array<bigint>").alias("ord"))
         for s in self.path.ast.segments:
             now = self._segment(s, now)
+        limit = self.path.limits.results
+        if limit is not None:
+            found = now.groupBy("doc_id").agg(F.count("*").alias("results"))
+            late = F.when(F.col("results") > limit, F.raise_error(F.lit(f"more than {limit} results")).cast("boolean")).otherwise(F.lit(True))
+            now = now.join(found, "doc_id").where(late).drop("results")
         return now.withColumnRenamed("at", "pre")
 
     def values(self) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from nodeloom.functions import iregexp
+from nodeloom.functions.evaluate import Limits
 from nodeloom.plans import ast as A
 from nodeloom.plans.query import JsonPath
 from nodeloom.sources.shredder import scalar_key
@@ -18,6 +19,21 @@ class NotNative(ValueError):
 _NO_REFS = "array<int>"
 
 
+def refuse_limits(path: JsonPath) -> None:
+    """Visited nodes and depth are counted by the kernel only: a path that bounds them is refused here, not run without them."""
+    own, usual = path.limits, Limits()
+    if own.visits not in (usual.visits, None) or own.depth not in (usual.depth, None):
+        raise NotNative("bounds on visited nodes and depth need the kernel")
+
+
+def bounded(found: Column, path: JsonPath, kind: str) -> Column:
+    """An array of results; one of more than the path's bound is an error."""
+    limit = path.limits.results
+    if limit is None:
+        return found
+    return F.when(F.size(found) > limit, F.raise_error(F.lit(f"more than {limit} results")).cast(kind)).otherwise(found)
+
+
 def _none() -> Column:
     return F.array().cast(_NO_REFS)
 
@@ -33,6 +49,7 @@ class RowLocal:
     """One query compiled against a tree column."""
 
     def __init__(self, path: JsonPath, doc: Column | str):
+        refuse_limits(path)
         self.path = path
         self.doc = F.col(doc) if isinstance(doc, str) else doc
         self.nodes = self.doc["nodes"]
@@ -41,10 +58,7 @@ class RowLocal:
 
     def refs(self) -> Column:
         """Numbers of the selected nodes, in order, duplicates included; null for a null tree."""
-        out = self._follow(self.path.ast, F.lit(0))
-        limit = self.path.limits.results
-        if limit is not None:
-            out = F.when(F.size(out) > limit, F.raise_error(F.lit(f"more than {limit} results")).cast(_NO_REFS)).otherwise(out)
+        out = bounded(self._follow(self.path.ast, F.lit(0)), self.path, _NO_REFS)
         return F.when(self.nodes.isNotNull(), out)
 
     def _text(self, r: Column) -> Column:

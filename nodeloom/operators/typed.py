@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nodeloom.functions import iregexp
-from nodeloom.operators.rowlocal import NotNative
+from nodeloom.operators.rowlocal import NotNative, bounded, refuse_limits
 from nodeloom.plans import ast as A
 from nodeloom.plans.query import JsonPath
 
@@ -50,6 +50,7 @@ class Typed:
         """column: the root of the documents; without one, a row is a document."""
         if null_as not in ("missing", "null"):
             raise ValueError(f"unknown null_as {null_as!r}")
+        refuse_limits(path)
         self.path, self.null_as = path, null_as
         if column is None:
             self.type: T.DataType = df.schema
@@ -97,7 +98,8 @@ class Typed:
             return F.array().cast("array<string>")
         one = len(found) == 1
         leaf = (lambda c, t: c) if one else json_of
-        return self._walk(self.root, self.type, self.path.ast.segments, leaf, found[0] if one else T.StringType(), self.fields)
+        of = found[0] if one else T.StringType()
+        return bounded(self._walk(self.root, self.type, self.path.ast.segments, leaf, of, self.fields), self.path, T.ArrayType(of).simpleString())
 
     def exists(self) -> Column:
         return F.size(self.values()) > 0

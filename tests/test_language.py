@@ -120,7 +120,11 @@ def test_hostile_pattern_is_linear():
     start = time.time()
     assert not compiled("((a+)+)+b").match("a" * 20_000)
     assert time.time() - start < 5
-    assert for_jvm("((a+)+)+b", True) is None and for_jvm("a+b+", False) is None and for_jvm("ab+", True)
+    assert for_jvm("((a+)+)+b", True) is None and for_jvm("ab+", True)
+    for slow in ("a?a?aa", "(a|ab)c", "a*a", "x.*y", "(a?){9}", "a{1,3}a", "\\p{L}"):
+        assert for_jvm(slow, True) is None, slow
+    for whole, inside in (("a+b+", True), ("xa*b", False), ("a*b", True), ("(the|of) [a-e]", True), ("[a-z]*[0-9]", True)):
+        assert (for_jvm(whole, False) is not None) == inside and (for_jvm(whole, True) is not None), whole
 
 
 def test_functions():

@@ -206,3 +206,70 @@ def test_queries_match_sql(spark, sf_dir):
         assert columns == sorted(want.columns), name
         rows = lambda p: sorted(map(str, p[columns].itertuples(index=False, name=None)))  # noqa: E731,B023
         assert rows(got) == rows(want), name
+
+
+def test_patterns_of_the_jvm_are_those_of_the_automaton(spark):
+    """Random patterns: what goes to rlike answers as the automaton does."""
+    from nodeloom.functions.iregexp import compiled, for_jvm
+
+    rng = random.Random(9485)
+
+    def pattern(depth: int) -> str:
+        k = rng.randrange(7 if depth else 4)
+        if k < 3:
+            return rng.choice("abc")
+        if k == 3:
+            return rng.choice(("[ab]", "[^a]", ".", "[a-c]"))
+        if k == 4:
+            return pattern(0) + rng.choice(("*", "+", "?", "{2}", "{1,}"))
+        if k == 5:
+            return pattern(depth - 1) + pattern(depth - 1)
+        return f"({pattern(depth - 1)}|{pattern(depth - 1)})" + rng.choice(("", "?"))
+
+    texts = ["", *("".join(rng.choice("abc\n") for _ in range(rng.randint(1, 7))) for _ in range(60))]
+    df, columns, want = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), [], []
+    while len(columns) < 60:
+        p, whole = pattern(3), len(columns) % 2 == 0
+        if java := for_jvm(p, whole):
+            columns.append(F.col("t").rlike(java).alias(f"c{len(columns)}"))
+            want.append((p, [(compiled(p).match if whole else compiled(p).search)(t) for t in texts]))
+    rows = df.select("i", *columns).orderBy("i").collect()
+    for k, (p, hits) in enumerate(want):
+        assert [r[f"c{k}"] for r in rows] == hits, p
+
+
+@pytest.mark.parametrize("q", ["$[?search(@,'a*b')]", "$[?search(@,'[a-c]+x')]", "$[?match(@,'a*b')]", "$[?match(@,'b?a{3}[a-c]*')]"])
+def test_time_of_native_patterns_grows_with_the_text(spark, q):
+    """Four times the text takes nowhere near sixteen times the time; patterns that could are refused."""
+    import time
+
+    def seconds(n: int) -> float:
+        docs = spark.createDataFrame([(["a" * n],)], "t array<string>")
+        best = 1e9
+        for column in (docs.select(Typed(compile(q), docs, "t").exists()), shred(docs.select(F.to_json("t").alias("j")), "j").select(RowLocal(compile(q), "doc").exists())):
+            start = time.time()
+            column.collect()
+            best = min(best, time.time() - start)
+        return best
+
+    seconds(1000)
+    assert seconds(400_000) < 3 + 8 * seconds(100_000)
+
+
+def test_limits_hold_or_are_refused(spark):
+    docs = spark.createDataFrame([(1, [1, 2, 3])], "id int, a array<int>")
+    tree = shred(docs.select("id", F.to_json(F.struct("a")).alias("j")), "j", keep=["id"])
+    few, enough = compile("$.a[*]").with_limits(results=2), compile("$.a[*]").with_limits(results=3)
+    runs = [lambda p: docs.select(Typed(p, docs).values()), lambda p: tree.select(RowLocal(p, "doc").values()), lambda p: Exploded(p, node_table(tree, "id")).values()]
+    for run in runs:
+        assert run(enough).count() in (1, 3)
+        with pytest.raises(Exception, match="more than 2 results"):
+            run(few).collect()
+        for bound in ({"visits": 10}, {"depth": 2}):
+            with pytest.raises(NotNative, match="kernel"):
+                run(compile("$.a[*]").with_limits(**bound))
+
+
+def test_findings():
+    assert compare.assess(None, "set") == "NOT_A_LITERAL" and compare.assess("$.a", "set") == "WRITE_API"
+    assert compare.hint("$.a[") == compare.OTHER_HINT and set(compare.VALID_HINTS) | {"NOT_RFC_9535"} == {"VALID", "VALID_SINGLE_VALUE", "WRITE_API", "NOT_A_LITERAL", "NOT_RFC_9535"}
