@@ -28,9 +28,10 @@ def col(name: str) -> Column:
 SMALL_ROWS = 500_000
 
 
-def small(table: DataFrame) -> DataFrame:
-    """A stored table of a few numeric columns, to be broadcast if its counted rows allow it."""
-    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+def small(table: DataFrame, lists: str | None = None) -> DataFrame:
+    """A stored table of a few numeric columns, to be broadcast if its counted rows allow it; lists: a column whose elements count as rows too."""
+    rows = F.count("*") if lists is None else F.count("*") + F.coalesce(F.sum(F.size(lists)), F.lit(0))
+    return F.broadcast(table) if table.agg(rows).first()[0] <= SMALL_ROWS else table
 
 
 def free(df: DataFrame, name: str) -> str:

@@ -292,6 +292,6 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     trees = trees.join(recurring.select("host", "tree").distinct(), ["host", "tree"], "left_semi")
     hits = trees.select("key", "host", "article", "tree", "first", "last", _groups()).select("*", "of.*").join(recurring, ["host", "kind", "part", "tree"]).where("inside or not article")
     gone = scratch.keep(hits.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("gone")), "gone")
-    joined = keyed.join(small(gone), "key", "left").select("page_id", "url", F.struct("html", "gone").alias("row"))
+    joined = keyed.join(small(gone, "gone"), "key", "left").select("page_id", "url", F.struct("html", "gone").alias("row"))
     fields = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     return with_kernel(joined, _extract, fields, "made", "row", ["page_id", "url"]).select("page_id", "url", "made.*")
