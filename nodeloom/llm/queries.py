@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.llm import jaccard, licenses, mixing, neighbours, packing, pages, quality, secrets, substrings, toxicity
+from nodeloom.llm import jaccard, licenses, mixing, neighbours, oracles, packing, pages, quality, secrets, substrings, toxicity
 from nodeloom.llm.frames import read
 from nodeloom.llm.store import Scratch
 
@@ -70,5 +70,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_neighbours, op3_quality, op4_packing, op5_toxicity, op6_pages, op7_secrets, op8_substrings, op9_licenses, op10_jaccard, pipeline)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_neighbours, op3_quality, op4_packing, op5_toxicity, op6_pages, op7_secrets, op8_substrings, op9_licenses, op10_jaccard, pipeline, *oracles.QUERIES)}
+SQL: dict[str, str] = dict(oracles.SQL)

@@ -656,3 +656,19 @@ def test_query(spark, sf_dir, name):
     if name == "op1_mixing":
         places = [r.first_position for r in rows]
         assert places == sorted((p for p in places if p is not None)) + [None] * places.count(None)
+
+
+def test_queries_against_duckdb(spark, sf_dir):
+    import duckdb
+
+    from nodeloom.llm.queries import QUERIES, SQL
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    for name, sql in SQL.items():
+        out = QUERIES[name](spark, sf_dir)
+        names = sorted(out.columns)
+        found = con.execute(sql)
+        at = [[d[0] for d in found.description].index(n) for n in names]
+        assert sorted(str(tuple(r)) for r in out.select(*names).collect()) == sorted(str(tuple(r[i] for i in at)) for r in found.fetchall()), name
