@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nodeloom.functions.access import ABSENT, Value, function
 from nodeloom.functions.registry import Function
 from nodeloom.functions.values import NOTHING, equal
 from nodeloom.operators import compare, kernel, overlay
@@ -258,6 +259,7 @@ OWN = Compiler(
     Function("largest", (A.NODES,), A.VALUE, lambda vs: max(vs) if vs else NOTHING),
     Function("tail", (A.NODES,), A.NODES, lambda vs: vs[1:]),
     Function("neither", (A.LOGICAL, A.LOGICAL), A.LOGICAL, lambda a, b: not (a or b)),
+    function("last_digit", (A.VALUE,), A.VALUE, lambda v: Value.of(int(v.text()[-1])) if v.text() else ABSENT),
     Function("fails", (A.VALUE,), A.LOGICAL, lambda v: 1 // (int(v) % 5 - 4) < 9),
 )
 
@@ -287,6 +289,12 @@ def own_function_of_tests(spark, sf_dir):
     return _own(spark, sf_dir, "$.nations[?neither(even(@.n_nationkey), search(@.n_name, '3'))].n_nationkey")
 
 
+@query("SELECT n_regionkey AS r_regionkey, CAST(n_nationkey AS VARCHAR) AS key FROM nation WHERE n_name LIKE '%7'")
+def own_function_with_accessors(spark, sf_dir):
+    """Numbers have no text, so the function is absent for them, and equal to nothing that is there."""
+    return _own(spark, sf_dir, "$.nations[?last_digit(@.n_name) == 7 && last_digit(@.n_nationkey) != 7 && last_digit(@.n_nationkey) == @.none].n_nationkey")
+
+
 @query("SELECT n_nationkey, n_nationkey % 5 = 4 AS failed FROM nation")
 def failing_function(spark, sf_dir):
     docs = table(spark, sf_dir, "nation").select("n_nationkey", F.to_json(F.array("n_nationkey")).alias("json"))

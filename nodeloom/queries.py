@@ -258,4 +258,5 @@ def assess_expressions(spark, sf_dir):
     return compare.assess_table(texts, "expression").select("expression", "assessment")
 
 
-import nodeloom.cases  # noqa: E402,F401  adds its queries to QUERIES and SQL
+import nodeloom.cases  # noqa: E402,F401  they add their queries to QUERIES and SQL
+import nodeloom.compliance  # noqa: E402,F401

@@ -174,3 +174,37 @@ def test_json_values():
     v = json_text.parse('{"b":1,"a":[1.50,1e400,12345678901234567890123,"\\ud83d\\ude00",null,true]}')
     assert list(v) == ["b", "a"] and v["a"][0] == Decimal("1.50") and v["a"][2] == 12345678901234567890123 and v["a"][3] == "😀"
     assert json_text.parse(json_text.write(v)) == v and json_text.write({"a": []}, 2) == '{\n  "a": []\n}'
+
+
+def test_values_of_own_functions():
+    from decimal import Decimal
+
+    from nodeloom.functions.access import ABSENT, Value, function
+    from nodeloom.plans import ast as A
+    from nodeloom.plans.query import Compiler
+
+    assert Value("a").text() == "a" and Value("a").number() is None and Value(1.5).number() == Decimal("1.5") and Value(float("nan")).number() is None and Value(True).truth() is True and Value(1).truth() is None
+    assert Value(None).is_null and Value(None).present and not ABSENT.present and ABSENT.kind is None and Value(None) != ABSENT and Value(1) == Value(1.0) and Value([1]).elements() == [Value(1)] and Value({"a": 1}).members() == {"a": Value(1)}
+    c = Compiler(
+        function("second", (A.NODES,), A.VALUE, lambda vs: vs[1] if len(vs) > 1 else ABSENT), function("texts", (A.NODES,), A.NODES, lambda vs: [v for v in vs if v.text() is not None]),
+        function("odd", (A.VALUE, A.LOGICAL), A.LOGICAL, lambda v, t: t and v.number() is not None and v.number() % 2 == 1), function("bad", (A.VALUE,), A.VALUE, lambda v: 1), function("set", (A.VALUE,), A.VALUE, lambda v: Value.of({1})),
+    )
+    values = lambda q, d: c.compile(q).values(d)
+    assert values("$[?second(@.*) == 2]", [[1, 2], [2]]) == [[1, 2]] and values("$[?second(@.*) == @.none]", [[1, 2], [2]]) == [[2]]
+    assert values("$[?count(texts(@.*)) == 1]", [["a", 1], [1]]) == [["a", 1]] and values("$[?odd(@, @ > 1)]", [1, 2, 3, "3"]) == [3]
+    for q in ("$[?bad(@) == 1]", "$[?set(@) == 1]"):
+        with pytest.raises(ValueError, match="TypeError"):
+            values(q, [1])
+
+
+def test_patterns_are_kept_within_bounds(monkeypatch):
+    from nodeloom.functions import iregexp
+
+    monkeypatch.setattr(iregexp, "MAX_ENTRIES", 500)
+    monkeypatch.setattr(iregexp, "MAX_PLACES", 100)
+    for i in range(300):
+        r = iregexp.compiled(f"(a|b)*a(a|b){{{i % 30}}}{i}")
+        assert r.search("ab" * 20 + "a" + "b" * (i % 30) + str(i)) and not r.match("ab" * 20)
+        assert len(iregexp._KEPT) <= iregexp.MAX_PATTERNS and (len(iregexp._KEPT) == 1 or sum(len(x.program) for x in iregexp._KEPT.values() if x) <= 500)
+        assert r._places <= 100 + 2 * len(r.program) ** 2
+    assert iregexp.compiled("[") is None and iregexp.compiled("[") is None

@@ -273,3 +273,24 @@ def test_limits_hold_or_are_refused(spark):
 def test_findings():
     assert compare.assess(None, "set") == "NOT_A_LITERAL" and compare.assess("$.a", "set") == "WRITE_API"
     assert compare.hint("$.a[") == compare.OTHER_HINT and set(compare.VALID_HINTS) | {"NOT_RFC_9535"} == {"VALID", "VALID_SINGLE_VALUE", "WRITE_API", "NOT_A_LITERAL", "NOT_RFC_9535"}
+
+
+def test_compliance_cases(spark):
+    from nodeloom import compliance as c
+
+    suite = {"tests": [
+        {"name": "right", "selector": "$.a", "document": {"a": 1.0}, "result": [1], "result_paths": ["$['a']"]},
+        {"name": "either order", "selector": "$.*", "document": {"a": 1, "b": 2}, "results": [[2, 1], [1, 2]], "results_paths": [["$['b']", "$['a']"], ["$['a']", "$['b']"]], "tags": ["x"]},
+        {"name": "wrong value", "selector": "$.a", "document": {"a": 1}, "result": [2]},
+        {"name": "wrong path", "selector": "$.a", "document": {"a": 1}, "result": [1], "result_paths": ["$['b']"]},
+        {"name": "refused", "selector": "$.", "invalid_selector": True},
+        {"name": "taken", "selector": "$", "invalid_selector": True},
+        {"name": "not taken", "selector": "$[", "document": 1, "result": []},
+    ]}
+    cases = c.read_cases(json.dumps(suite))
+    for operator in ("kernel", "rowlocal"):
+        bad = {r.name: r.reason for r in c.run(spark, cases, operator).where("reason is not null").collect()}
+        assert set(bad) == {"wrong value", "wrong path", "taken", "not taken"} and bad["taken"] == "an invalid selector is taken", operator
+    for broken in ("[]", '{"tests":[{"name":"x"}]}', '{"tests":[{"name":"x","selector":"$"}]}', '{"tests":[{"name":"x","selector":"$","document":1,"invalid_selector":true}]}'):
+        with pytest.raises(c.BadCase):
+            c.read_cases(broken)
