@@ -4,7 +4,8 @@ All rolling K-word gram hashes of all texts are joined with the positions of
 the same grams in the licence templates. Matches are counted by diagonal (place
 in the text less place in the template); neighbouring diagonals, where words
 were added or left out, merge. A merged span is verified by the share of
-template words that its matched grams cover in order.
+template words that its matched grams cover in order: of all chains of grams that
+rise in the text and in the template, the one that covers most counts.
 
 Phrases of the base contract are searched for word by word beside it.
 """
@@ -12,6 +13,7 @@ Phrases of the base contract are searched for word by word beside it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +116,25 @@ def _grams(k: int):
     return run
 
 
+def in_order(pairs: list[tuple[int, int]], words: int, k: int) -> int:
+    """The most template words that a chain of grams covers whose places rise in text and template; pairs: (at, place)."""
+    best = [0] * words  # of chains that end with the gram of a place
+    for at, group in groupby(sorted(pairs), key=lambda p: p[0]):
+        found = [(p, max([k, *(best[q] + min(k, p - q) for q in range(p) if best[q])])) for _, p in group]
+        for p, n in found:
+            best[p] = max(best[p], n)
+    return max(best)
+
+
+def _covers(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            covers = [in_order([(x["at"], x["place"]) for x in pairs], words, k) / words for pairs, words in zip(batch.column("pairs").to_pylist(), batch.column("words").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fp"), batch.column("label"), pa.array(covers, pa.float64())], names=["doc_id", "fp", "label", "cover"])
+
+    return run
+
+
 def votes(spark: SparkSession, texts: DataFrame, templates=TEMPLATES, k: int = K) -> DataFrame:
     """(doc_id, fp, label, cover): the best verified span of each label; fp tells texts under one doc_id apart."""
     rows = spark.createDataFrame(template_rows(templates, k), "gram long, template int, place int")
@@ -124,9 +145,11 @@ def votes(spark: SparkSession, texts: DataFrame, templates=TEMPLATES, k: int = K
     lines = hits.groupBy("doc_id", "fp", "template", diagonal.alias("diagonal")).agg(F.collect_set("place").alias("places"))
     by = Window.partitionBy("doc_id", "fp", "template").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > GAP).cast("int"), F.lit(0))
-    spans = lines.withColumn("apart", apart).withColumn("span", F.sum("apart").over(by)).groupBy("doc_id", "fp", "template", "span").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (k - 1))))))
-    judged = spans.join(F.broadcast(names), "template").withColumn("cover", covered / F.col("words"))
+    here = F.transform("places", lambda p: F.struct((F.col("diagonal") + p).alias("at"), p.alias("place")))
+    spans = lines.withColumn("apart", apart).withColumn("span", F.sum("apart").over(by)).groupBy("doc_id", "fp", "template", "span").agg(F.flatten(F.collect_list(here)).alias("pairs"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.sequence(p["place"], p["place"] + (k - 1))))))  # in any order, so no less
+    likely = spans.join(F.broadcast(names), "template").where(covered >= F.col("words") * COVER).select("doc_id", "fp", "label", "words", "pairs")
+    judged = likely.mapInArrow(_covers(k), "doc_id long, fp long, label string, cover double")
     return judged.where(F.col("cover") >= COVER).groupBy("doc_id", "fp", "label").agg(F.max("cover").alias("cover"))
 
 
@@ -135,7 +158,9 @@ def scan(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
 
     score: 1 with a base phrase, else the best verified share of a template, 0
     without one. Null and empty texts have no words and no labels (empty
-    strings). Repeated rows are scanned alike; extra columns are ignored.
+    strings), long ones are scanned whole. Diagonals just GAP apart merge; of
+    spans of one label the best counts. Repeated rows are scanned alike; extra
+    columns are ignored; empty docs give an empty result.
     """
     texts = docs.select(col("doc_id").cast("long").alias("doc_id"), col(text).alias("t"))
     base = Scratch(spark, "licenses").keep(texts.mapInArrow(_base(PHRASES), BASE), "base")

@@ -142,6 +142,21 @@ def test_licenses(spark, docs, empty, texts):
     assert licenses.scan(spark, empty).count() == 0
 
 
+def test_license_grams_count_in_order(spark):
+    import itertools
+
+    rng = random.Random(3)
+    for _ in range(60):
+        pairs = list({(rng.randrange(8), rng.randrange(7)) for _ in range(rng.randint(1, 7))})
+        chains = [c for n in range(1, len(pairs) + 1) for c in itertools.combinations(sorted(pairs), n) if all(a[0] < b[0] and a[1] < b[1] for a, b in zip(c, c[1:], strict=False))]
+        assert licenses.in_order(pairs, 10, 4) == max(len({w for _, p in c for w in range(p, p + 4)}) for c in chains)
+    text = next(t for x, t in licenses.TEMPLATES if x == "mpl-2.0").split(" ")
+    parts = [text[i : i + 5] for i in range(0, len(text), 5)]
+    rows = [(1, " ".join(text)), (2, " ".join(w for p in reversed(parts) for w in p)), (3, "so " + " ".join(text[:9] + ["fine", "and"] + text[9:])), (4, " ".join(text + text))]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == ("mpl-2.0", 1.0) and got[2] == ("", 0.0) and got[3][0] == "mpl-2.0" and 0.6 <= got[3][1] <= 1 and got[4] == ("mpl-2.0", 1.0)
+
+
 def brute_quality(t: str | None) -> tuple:
     t = t or ""
     w = re.findall(WORDS, t)
