@@ -294,3 +294,22 @@ def test_compliance_cases(spark):
     for broken in ("[]", '{"tests":[{"name":"x"}]}', '{"tests":[{"name":"x","selector":"$"}]}', '{"tests":[{"name":"x","selector":"$","document":1,"invalid_selector":true}]}'):
         with pytest.raises(c.BadCase):
             c.read_cases(broken)
+
+
+def operators_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exploded_descendant_takes_no_join(spark, sf_dir):
+    from nodeloom.queries import QUERIES
+
+    plan = operators_of(QUERIES["exploded_descendant"](spark, sf_dir))
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_exploded_broadcasts_nothing(spark, sf_dir):
+    from nodeloom.queries import as_text, orders
+
+    nodes = node_table(shred(as_text(orders(spark, sf_dir), "o_orderkey"), "json", keep=["o_orderkey"]), "o_orderkey")
+    for q in ("$..a..b", "$.a[-1]", "$[?@.a.b == 1 || !@..c]..x", "$[?@.a != 1][::-1]"):
+        assert "Broadcast" not in operators_of(Exploded(compile(q), nodes).values()), q
