@@ -13,6 +13,7 @@ from nodeloom.operators.rowlocal import RowLocal
 from nodeloom.operators.typed import Typed
 from nodeloom.plans.query import compile as path, with_aggregates
 from nodeloom.sources.shredder import shred
+from nodeloom.sources.store import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -207,7 +208,7 @@ def node_kinds(spark, sf_dir):
 @query("SELECT l_orderkey AS o_orderkey, CAST(l_partkey AS VARCHAR) AS l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 10")
 def exploded_filter(spark, sf_dir):
     nodes = node_table(shred(as_text(orders(spark, sf_dir), "o_orderkey"), "json", keep=["o_orderkey"]), "o_orderkey")
-    found = Exploded(path("$.lines[?@.l_returnflag == 'R' && @.l_quantity < 10].l_partkey"), nodes).values()
+    found = Exploded(path("$.lines[?@.l_returnflag == 'R' && @.l_quantity < 10].l_partkey"), nodes, Scratch(spark, "exploded")).values()
     return found.select(F.col("doc_id").alias("o_orderkey"), F.col("value").alias("l_partkey"))
 
 

@@ -313,3 +313,20 @@ def test_exploded_broadcasts_nothing(spark, sf_dir):
     nodes = node_table(shred(as_text(orders(spark, sf_dir), "o_orderkey"), "json", keep=["o_orderkey"]), "o_orderkey")
     for q in ("$..a..b", "$.a[-1]", "$[?@.a.b == 1 || !@..c]..x", "$[?@.a != 1][::-1]"):
         assert "Broadcast" not in operators_of(Exploded(compile(q), nodes).values()), q
+
+
+def test_exploded_filter_shreds_once(spark, sf_dir):
+    from nodeloom.queries import QUERIES
+
+    plan = operators_of(QUERIES["exploded_filter"](spark, sf_dir))
+    assert "Broadcast" not in plan and "MapInArrow" not in plan and "Scan parquet" in plan
+
+
+def test_exploded_from_a_written_table(spark, trees):
+    from nodeloom.sources.store import Scratch
+
+    nodes, scratch = node_table(trees, "id").cache(), Scratch(spark, "test")
+    for q in ("$", "$.*", "$.b[?@.x == 1].y", "$..[?@.x != 1]", "$[?@ == 1]"):
+        plain, written = ([tuple(r) for r in Exploded(compile(q), nodes, s).values().orderBy("doc_id", "ord").collect()] for s in (None, scratch))
+        assert plain == written, q
+        assert [[r[4] for r in written if r[0] == i] for i in range(len(DOCS))] == [[v for v, _ in e] for e in expected(q)], q
