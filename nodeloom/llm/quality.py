@@ -6,8 +6,10 @@ document's score is the mean log ratio of its n-grams. The threshold is a low
 quantile of the scores of trusted documents that the target counts have not
 seen, so the same rule holds for every document and every rerun.
 
-The trusted rows are a bounded sample, FIT_ROWS of them by a hash of doc_id;
-corpus counts cover all documents.
+Nothing is sampled: corpus counts cover all documents, and every trusted
+document counts, by its place in the order of a hash of doc_id: those at even
+places in the target counts, those at odd places in the threshold, which is an
+exact order statistic of all their scores.
 """
 
 from __future__ import annotations
@@ -21,16 +23,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nodeloom.llm import words as W
-from nodeloom.llm.frames import col, free, with_kernel
+from nodeloom.llm.frames import col, free, running, small, with_kernel
+from nodeloom.llm.store import Scratch
 
 N_BUCKETS = 1 << 16
-#: Trusted rows used, half for the target counts and half for the threshold.
-FIT_ROWS = 20_000
 #: The threshold: this quantile of unseen trusted scores, less MARGIN times its distance from their median.
 MISSED = 0.001
 MARGIN = 0.25
 #: Added to every bucket of both multinomials.
 PRIOR = 0.5
+#: Scores that the driver sorts; of more, ranks are found by counting BINS bins again and again.
+SORTED_ROWS = 100_000
+BINS = 4096
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -79,15 +83,46 @@ def features(c: W.Chunk, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((2, N_BUCKETS), np.int64)
+    total = np.zeros(N_BUCKETS, np.int64)
     for batch in batches:
-        trusted = batch.column("fit").fill_null(False).to_numpy(zero_copy_only=False)
         for c in W.chunks(batch.column("text")):
-            bucket, doc = features(c, c.hashes())
-            total[0] += np.bincount(bucket, minlength=N_BUCKETS)
-            total[1] += np.bincount(bucket[trusted[c.first + doc]], minlength=N_BUCKETS)
-    full = np.flatnonzero(total[0])
-    yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[0][full]), pa.array(total[1][full])], names=["bucket", "raw", "target"])
+            total += np.bincount(features(c, c.hashes())[0], minlength=N_BUCKETS)
+    full = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], names=["bucket", "n"])
+
+
+def _multinomial(texts: DataFrame) -> np.ndarray:
+    """N-grams of the texts by bucket, with the prior."""
+    out = np.full(N_BUCKETS, PRIOR)
+    counts = texts.mapInArrow(_count_kernel, "bucket long, n long").groupBy("bucket").agg(F.sum("n"))
+    for b, n in counts.collect():  # N_BUCKETS rows at most
+        out[b] += n
+    return out
+
+
+def order_statistics(values: DataFrame, ranks: list[int], at_once: int = SORTED_ROWS) -> list[float]:
+    """The values (one column of finite doubles, stored) at these ranks, from 0, exactly.
+
+    More than at_once of them are counted by bins between their least and
+    largest, and the bin that holds a rank is searched in the same way.
+    """
+    v = col(values.columns[0])
+    n, low, high = values.agg(F.count(v), F.min(v), F.max(v)).first()
+    if n <= at_once or low == high:
+        found = np.full(n, low) if low == high else np.sort([r[0] for r in values.collect()])
+        return [float(found[r]) for r in ranks]
+    where = F.floor((v - F.lit(low)) / F.lit(high - low) * F.lit(float(BINS)))
+    counts = dict(sorted((b, k) for b, k in values.groupBy(where.alias("bin")).agg(F.count("*")).collect()))  # BINS + 1 rows at most
+    ends = np.cumsum(list(counts.values()))
+    inside: dict[int, list[int]] = {}
+    for i, r in enumerate(ranks):
+        inside.setdefault(int(np.searchsorted(ends, r, "right")), []).append(i)
+    out = [0.0] * len(ranks)
+    for k, those in inside.items():
+        before = int(ends[k - 1]) if k else 0
+        for i, x in zip(those, order_statistics(values.where(where == list(counts)[k]), [ranks[i] - before for i in those], at_once), strict=True):
+            out[i] = x
+    return out
 
 
 def scores(c: W.Chunk, h: np.ndarray, ratio: np.ndarray) -> np.ndarray:
@@ -113,27 +148,25 @@ def kernel(ratio: np.ndarray, least: float):
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[np.ndarray, float]:
     """Log ratios by bucket and the threshold. Without trusted documents: all ratios 0, no threshold."""
-    spark = docs.sparkSession
-    trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    sample = [r[0] for r in trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).collect()]
-    if not sample:
+    scratch = Scratch(docs.sparkSession, "quality")
+    ids = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("h", F.xxhash64("doc_id")).withColumn("one", F.lit(1))
+    placed = running(ids, [], "one", ["h", "doc_id"], "place", part=F.shiftright("h", 52))
+    halves = scratch.keep(placed.select("doc_id", (F.col("place") % 2 == 0).alias("fit")), "halves")
+    if not halves.take(1):
+        scratch.drop(halves)
         return np.zeros(N_BUCKETS), -np.inf
-    rows = spark.createDataFrame([(x, i % 2 == 0) for i, x in enumerate(sample)], "doc_id long, fit boolean")
-    bounded = F.broadcast(rows)  # FIT_ROWS rows at most
-    marked = docs.select(col("doc_id").alias("doc_id"), col(text).alias("text")).join(bounded, "doc_id", "left").select("text", "fit")
-    counts = marked.mapInArrow(_count_kernel, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
-    raw, target = np.full(N_BUCKETS, PRIOR), np.full(N_BUCKETS, PRIOR)
-    for b, r, t in counts.collect():  # N_BUCKETS rows at most
-        raw[b] += r
-        target[b] += t
+    texts = docs.select(col("doc_id").alias("doc_id"), col(text).alias("text"))
+    trusted = scratch.keep(texts.join(small(halves), "doc_id").select("fit", "text"), "trusted")
+    raw, target = _multinomial(texts.select("text")), _multinomial(trusted.where("fit").select("text"))
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
-    unseen = docs.select(col("doc_id").alias("doc_id"), col(text).alias("text")).join(F.broadcast(rows.where("not fit")), "doc_id", "left_semi")
-    scored = with_kernel(unseen, kernel(ratio, -np.inf), FIELDS, "q", keep=["doc_id"]).where("not q.base_failed").select("q.score")
-    found = np.sort([r[0] for r in scored.collect()])  # FIT_ROWS / 2 rows at most
-    if not len(found):
-        return ratio, -np.inf
-    low = found[int(MISSED * len(found))]
-    return ratio, float(low - MARGIN * (np.median(found) - low))
+    scored = with_kernel(trusted.where("not fit"), kernel(ratio, -np.inf), FIELDS, "q", keep=[])
+    found = scratch.keep(scored.where("not q.base_failed").select("q.score"), "scores")
+    n, least = found.count(), -np.inf
+    if n:
+        low, a, b = order_statistics(found, [int(MISSED * n), (n - 1) // 2, n // 2])
+        least = low - MARGIN * ((a + b) / 2 - low)
+    scratch.drop(halves, trusted, found)
+    return ratio, least
 
 
 def quality(docs: DataFrame, labels: DataFrame, into: str = "quality", text: str = "text", keep: list[str] | None = None) -> DataFrame:
